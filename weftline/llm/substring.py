@@ -112,5 +112,5 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], ["doc_id", "n_sentences", "n_removed", "removed", "kept"])
 
-    joined = rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
+    joined = rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone")  # texts aren't sorted
     return joined.mapInArrow(each, "doc_id long, n_sentences long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
