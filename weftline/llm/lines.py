@@ -117,7 +117,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = saved(hashed_lines(docs, min_chars), "hashes")
     gone = dropped_lines(lines, min_docs).groupBy("doc_id").agg(F.collect_set("at").alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left").drop("__doc")
+    # One plan at every size: texts are dealt by document and not sorted.
+    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["__doc"], "left").drop("__doc")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
