@@ -16,6 +16,8 @@ from .components import components
 SHINGLE, BUDGET = 4, 4
 #: Fingerprints that one subtree may hold before it is split further.
 SUBTREE = 1_000_000
+#: A fingerprint is frequent from this fraction of all rows on.
+HOT = 1000
 #: Rows whose subtrees are joined in one go, node pairs held at once, and pairs of leaves compared at once.
 ROWS, FRONTIER, LEAF = 1 << 18, 1 << 18, 16
 
@@ -253,11 +255,15 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> Dat
     no rows. Copies meet in one distinct fingerprint before anything is compared.
     """
     each = saved(fingerprints(docs, shingle), "fingerprints")
-    least = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    least = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     forest = components(links(least.select("fp"), budget))
     member = forest.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     member = member.union(forest.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     smallest = member.join(least, "fp").groupBy("root").agg(F.min("least").alias("smallest"))
     linked = member.join(smallest, "root").select("fp", "smallest")
-    label = least.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return each.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = least.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), "n")
+    # Fingerprints of more than a thousandth of all rows are fewer than a thousand: theirs are joined by broadcast.
+    hot = F.broadcast(saved(label.where(F.col("n") * HOT > each.count()).select("fp", "component_id"), "hot"))
+    often = each.join(hot, "fp").select("doc_id", "fp", "component_id")
+    rest = each.join(hot, "fp", "left_anti").join(label, "fp").select("doc_id", "fp", "component_id")
+    return often.unionByName(rest)
