@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 MAX_COMMITS, MONTHS_DAYS, MIN_FILES, MAX_FILES, MAX_PARTNERS = 500, 180, 2, 200, 50
 
 
@@ -37,21 +39,19 @@ def capped(commits: DataFrame, cap: int = MAX_PARTNERS) -> DataFrame:
     place is within what that end has left; it goes when an end has nothing left. The earliest undecided pair is
     always decided, so the rounds end, and a taken pair never depends on a later one.
     """
-    spark = commits.sparkSession
     ordered = pairs(commits).groupBy("a", "b").agg(F.max(F.struct("at", "commit")).alias("newest"))
-    todo = ordered.select("a", "b", F.col("newest.at").alias("at"), F.col("newest.commit").alias("commit")).persist()
-    taken = spark.createDataFrame([], todo.select("a", "b").schema)
+    todo = cut(ordered.select("a", "b", F.col("newest.at").alias("at"), F.col("newest.commit").alias("commit")))
+    taken = todo.select("a", "b").limit(0)
     first = [F.desc("at"), F.desc("commit"), "a", "b"]
     while True:
-        half = todo.select(F.col("a").alias("f"), "a", "b", "at", "commit").union(todo.select("b", "a", "b", "at", "commit"))
         used = taken.select(F.col("a").alias("f")).union(taken.select("b")).groupBy("f").agg(F.count(F.lit(1)).alias("used"))
+        half = todo.select(F.col("a").alias("f"), "a", "b", "at", "commit").union(todo.select("b", "a", "b", "at", "commit"))
         placed = half.withColumn("place", F.row_number().over(Window.partitionBy("f").orderBy(*first))).join(used, "f", "left")
         room = F.lit(cap) - F.coalesce("used", F.lit(0))
-        state = placed.groupBy("a", "b").agg(F.bool_and(F.col("place") <= room).alias("take"), F.bool_or(room <= 0).alias("full"))
-        state = state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
+        state = placed.groupBy("a", "b", "at", "commit").agg(F.bool_and(F.col("place") <= room).alias("take"), F.bool_or(room <= 0).alias("full"))
+        state = cut(state)
         new = state.where("take AND NOT full").select("a", "b")
-        done = state.where("take OR full").select("a", "b")
-        if done.isEmpty():
+        todo, before = state.where("NOT (take OR full)").select("a", "b", "at", "commit"), state
+        if not before.where("take OR full").limit(1).count():
             return taken
         taken = taken.union(new)
-        todo = todo.join(done, ["a", "b"], "left_anti")

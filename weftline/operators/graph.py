@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import words as W
+from .lineage import cut
 
 DEPENDENCIES = (1, 5, 6, 7, 8, 9, 10)
 SATISFIES, IMPLEMENTS, DEFINED_IN, IMPORTS, RE_EXPORTS = 0, 2, 3, 5, 6
@@ -240,16 +241,16 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, types: Sequence[int]) -
 def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops: int = 12, types: Sequence[int] = DEFAULT_TYPES) -> DataFrame:
     """(hop, id): a shortest undirected path from a to b, or no rows. Of several, each node's least predecessor.
 
-    Levels are tables that are cached as they are made; the walk ends when b is reached.
+    Levels are tables; the walk ends when b is reached.
     """
     spark = edges.sparkSession
     own = live(edge_filter(edges, types), nodes).select("from_id", "to_id")
-    both = own.union(own.select("to_id", "from_id")).distinct().persist()
+    both = cut(own.union(own.select("to_id", "from_id")).distinct())
     levels = [spark.createDataFrame([(a, None)], "id string, parent string")]
     seen = levels[0].select("id")
     while a != b and len(levels) <= max_hops:
         step = levels[-1].join(both, levels[-1]["id"] == both["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("parent"))
-        new = step.join(seen, "id", "left_anti").persist()
+        new = cut(step.join(seen, "id", "left_anti"))
         levels.append(new)
         if new.where(F.col("id") == b).count() or new.isEmpty():
             break
@@ -262,8 +263,6 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops:
             break
         path.append((d, at))
         at = row["parent"]
-    for df in (*levels[1:], both):
-        df.unpersist()
     return spark.createDataFrame(path, "hop int, id string")
 
 
