@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_texts, saved, small_batches
 
@@ -140,5 +141,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             more = [pa.array(x, t) for x, t in zip(made[1:], (pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *more], [*b.schema.names[:-1], "__n_lines", "__n_dropped", "__keep"])
 
-    schema = docs.schema.add("__n_lines", "long").add("__n_dropped", "long").add("__keep", "binary")
+    more = (("__n_lines", T.LongType()), ("__n_dropped", T.LongType()), ("__keep", T.BinaryType()))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(*f) for f in more)])
     return joined.mapInArrow(each, schema)
