@@ -1,0 +1,136 @@
+import subprocess
+
+import pytest
+
+from weftline.api import Ambiguous, Engine
+from weftline.operators import export
+from weftline.sources import git
+
+FILES = {
+    "tsconfig.json": '{ // comment\n "compilerOptions": {"baseUrl": ".",}, }',
+    "src/cache/port.ts": "export interface CachePort { get(k: string): string }\n",
+    "src/cache/redis.ts": "import type { CachePort } from './port';\n// @spec REQ-1\nexport class RedisCache {\n  get(k: string) { return helper(k); }\n}\nfunction helper(k: string) { return k; }\n",
+    "src/cache/index.ts": "export * from './port';\nexport { RedisCache } from './redis';\n",
+    "src/app/a.ts": "import { RedisCache } from '../cache';\nimport { b } from './b';\nexport function a() { return b(); }\n",
+    "src/app/b.ts": "import { a } from './a';\nexport function b() { return fetch('/api/v1/contracts/${id}'); }\n",
+    "py/tool.py": "import os\nfrom . import other\nfrom .other import thing\n\nclass Tool:\n    def run(self):\n        return thing()\n",
+    "py/other.py": "def thing():\n    return 1\n",
+    "py/__init__.py": "",
+    "db/schema.sql": "CREATE TABLE app.users (id int PRIMARY KEY, email varchar(200) NOT NULL UNIQUE);\nCREATE TABLE app.orders (id int, user_id int REFERENCES app.users(id));\nALTER TABLE app.orders ADD COLUMN total numeric(10, 2);\nCREATE VIEW app.totals AS SELECT * FROM app.orders;\nGRANT ALL;\n",
+    "api/openapi.json": '{"openapi": "3.0.0", "paths": {"/contracts/{id}": {"get": {"operationId": "getContract"}}}}',
+    "src/user.entity.ts": "@Entity('users')\nexport class User {}\n",
+    "package.json": '{"name": "@acme/app", "version": "1.0.0", "dependencies": {"left": "1"}}',
+    "docs/req.md": "# Title\n\n- REQ-1 (cache): Keep values\n- **REQ-2**: Never satisfied\n\n## TASK-7 Build it\n\nDoes what REQ-1 and REQ-9 say.\n",
+    "img/logo.png": "x",
+}
+
+
+@pytest.fixture(scope="module")
+def repo(tmp_path_factory):
+    at = tmp_path_factory.mktemp("repo")
+    run = lambda *a: subprocess.run(["git", "-C", str(at), *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("config", "user.email", "a@example.com")
+    run("config", "user.name", "A")
+    for path, text in FILES.items():
+        (at / path).parent.mkdir(parents=True, exist_ok=True)
+        (at / path).write_text(text)
+    run("add", "-A")
+    run("commit", "-qm", "REQ-1: begin")
+    (at / "py/other.py").write_text("def thing():\n    return 2\n")
+    (at / "src/app/b.ts").write_text(FILES["src/app/b.ts"] + "// more\n")
+    run("commit", "-qam", "change two")
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def engine(spark, repo, tmp_path_factory):
+    e = Engine(spark, str(tmp_path_factory.mktemp("store")), repo)
+    assert e.sync() == 1
+    return e
+
+
+def links(e, code):
+    names = {r.id: r.label for r in e.nodes.collect()}
+    return {(names.get(r.from_id), names.get(r.to_id)) for r in e.edges.where(f"edge_type = {code}").collect()}
+
+
+def test_graph(engine):
+    kinds = {r.kind: r["count"] for r in engine.nodes.groupBy("kind").count().collect()}
+    assert kinds["file"] == len(FILES) - 1 and kinds["requirement"] == 2 and kinds["task"] == 1
+    assert kinds["table"] == 2 and kinds["view"] == 1 and kinds["column"] == 5 and kinds["endpoint"] == 1 and kinds["package"] == 1
+    assert links(engine, 0) >= {("RedisCache", "REQ-1"), ("TASK-7", "REQ-1"), ("TASK-7", None)}
+    assert links(engine, 5) >= {("src/app/a.ts", "src/app/b.ts"), ("src/app/b.ts", "src/app/a.ts"), ("src/app/a.ts", "src/cache/index.ts"), ("src/cache/redis.ts", "src/cache/port.ts"), ("py/tool.py", "py/other.py")}
+    assert links(engine, 6) == {("src/cache/index.ts", "src/cache/port.ts"), ("src/cache/index.ts", "src/cache/redis.ts")}
+    assert ("RedisCache", "helper") in links(engine, 7) and ("src/app/b.ts", "GET /contracts/{}") in links(engine, 7)
+    assert links(engine, 10) >= {("app.orders", "app.users"), ("app.totals", "app.orders")}
+    assert ("src/user.entity.ts", "app.users") in links(engine, 2)
+    assert ("py/other.py", "src/app/b.ts") in links(engine, 4)
+
+
+def test_sync_again_writes_nothing_and_sees_the_working_tree(spark, repo, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), repo)
+    assert (e.sync(), e.sync()) == (1, 1)
+    path = f"{repo}/py/new.py"
+    with open(path, "w") as f:
+        f.write("def fresh():\n    pass\n")
+    try:
+        assert e.sync() == 2
+        assert e.nodes.where("label = 'fresh'").count() == 1
+    finally:
+        import os
+
+        os.remove(path)
+    assert Engine(spark, str(tmp_path / "old"), repo).sync("HEAD~1") == 1
+
+
+def test_questions(engine):
+    assert [r.label for r in engine.affected("src/cache/port.ts").collect()][:2]
+    assert engine.path("src/app/b.ts", "src/cache/port.ts").count() >= 2
+    assert {r.label for r in engine.trace("REQ-1").collect()} >= {"RedisCache", "TASK-7"}
+    assert engine.search("where is the RedisCache kept").first().label == "RedisCache"
+    assert engine.explain("src/cache/index.ts").count() == 3
+    assert engine.query("what uses RedisCache").count() > 0
+    assert engine.query("what uses RedisCache", depth_first=True).count() > 0
+    assert engine.blame("thing").count() == 2
+    with pytest.raises(Ambiguous, match="close"):
+        engine.resolve("Redis")
+
+
+def test_report_and_exports(spark, engine, tmp_path):
+    found = engine.report()
+    assert found["cycles"][0]["nodes"] == ["src/app/a.ts", "src/app/b.ts"]
+    assert {r["state"]: r["count"] for r in found["coverage"]} == {"uncovered": 1, "orphan_reference": 1}
+    whole = export.render(found)
+    assert len(export.render(found, 100)) < len(whole)
+    assert any("cycle" in q for q in export.questions(found))
+    at = str(tmp_path / "graph.json")
+    export.to_json(engine.nodes, engine.edges, at)
+    assert export.is_fresh(engine.nodes, engine.edges, at)
+    nodes, edges = export.from_json(spark, at)
+    assert nodes.count() == engine.nodes.count() and edges.count() == export.graph.live(engine.edges, engine.nodes).count()
+    export.to_html(engine.nodes, engine.edges, str(tmp_path / "g.html"))
+    export.to_tree(engine.nodes, str(tmp_path / "t.html"))
+    member = spark.createDataFrame([("x/a", 0), ("x/b", 0), ("y/c", 1)], "file string, community int")
+    own = spark.createDataFrame([("x/a", "x/b", 1.0), ("x/b", "y/c", 1.0)], "a string, b string, weight double")
+    assert export.to_wiki(own, member, str(tmp_path / "wiki")) == ["index.md", "x-0.md", "y-1.md"]
+
+
+def test_lessons_and_bench(engine, tmp_path):
+    engine.save_result("q", "useful", ["RedisCache"], 1_700_000_000)
+    engine.save_result("q", "useful", ["RedisCache"], 1_700_000_100)
+    engine.save_result("q", "dead_end", ["helper"], 1_700_000_100)
+    assert {r.lesson for r in engine.reflect(1_700_001_000).collect()} == {"preferred", "dead_end"}
+    with pytest.raises(ValueError):
+        engine.save_result("q", "nice", [], 0)
+    corpus = tmp_path / "q.toml"
+    corpus.write_text('[[query]]\nid = "1"\nquery = "RedisCache"\nexpect = ["redis.ts"]\n[[query]]\nid = "2"\nquery = "nothing here"\nexpect = ["none.ts"]\n')
+    assert {r.query_id: r.recall_at_5 for r in engine.bench(str(corpus)).collect()} == {"1": 1.0, "2": 0.0}
+
+
+def test_git_sources(spark, repo):
+    log = git.commits(spark, repo).orderBy("rank").collect()
+    assert [r.message for r in log] == ["change two", "REQ-1: begin"] and sorted(log[0].paths) == ["py/other.py", "src/app/b.ts"]
+    old, new = git.files(spark, repo, "HEAD~1"), git.files(spark, repo)
+    assert {(r.path, r.change) for r in git.diff(old, new).collect()} == {("py/other.py", "modified"), ("src/app/b.ts", "modified")}
+    assert git.diff(None, new).count() == len(FILES)
