@@ -1,4 +1,4 @@
-"""Toxicity: a linear classifier of words whose score changes under swapped identity terms are penalised."""
+"""Toxicity: a linear classifier of words and stems whose score changes under swapped identity terms are penalised."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ from .common import by_ids, saved, small_batches, texts
 
 #: Labelled rows that are fitted (those of the least hashes of their ids), and words that may have a weight.
 MAX_ROWS, MAX_WORDS = 20_000, 4_000
-#: Documents in which a word must be, of the fitted ones.
-MIN_DOCS = 3
-#: Weight of the penalties on weights and on score changes under swaps, and of steps.
-RIDGE, SWAP, STEPS = 1e-3, 1.0, 400
+#: Documents in which a word must be, of the fitted ones, and the least chi-square of its presence and the label.
+MIN_DOCS, MIN_CHI = 3, 10.83
+#: Letters of a longer word's stem, which is a feature too.
+STEM = 4
+#: Weight of the penalties on weights and on score changes under swaps, and the number of steps.
+RIDGE, SWAP, STEPS = 1e-4, 1.0, 400
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Terms that name groups of people; swapping one for another shouldn't change what is toxic.
@@ -35,7 +37,9 @@ def fold(doc_id: F.Column, folds: int = FOLDS) -> F.Column:
 
 
 def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """A text's distinct words, and their stems after a caret."""
+    own = set(_WORD.findall(text.lower()))
+    return own | {"^" + w[:STEM] for w in own if len(w) > STEM}
 
 
 def _swap_pairs(words: list[set[int]], identity: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,12 +49,12 @@ def _swap_pairs(words: list[set[int]], identity: list[int]) -> tuple[np.ndarray,
 
 
 def fit(rows: list[set[int]], y: np.ndarray, n_words: int, identity: list[int], ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of word presence.
+    """Weights and bias of a logistic model of the presence of words and stems.
 
-    The loss is the mean log loss, ridge times the squared weights, and swap times the mean squared change of a
-    row's score when one of its identity terms is swapped for another (its counterfactuals). Rows are divided
-    by the root of their number of words, so long texts aren't scored by their length. Plain gradient steps
-    with per-weight scaling (Adam) from zero, so the result is a function of the rows and their order alone.
+    The loss is the mean log loss, in which both labels weigh the same, ridge times the squared weights, and
+    swap times the mean squared change of a row's score when one of its identity terms is swapped for another
+    (its counterfactuals). Gradient steps with per-weight scaling (Adam) from zero, so the result is a function
+    of the rows and their order alone.
     """
     sizes = np.array([len(r) for r in rows], np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
@@ -58,12 +62,13 @@ def fit(rows: list[set[int]], y: np.ndarray, n_words: int, identity: list[int],
     row, out, into = _swap_pairs(rows, identity)
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     w, bias = np.zeros(n_words), float(np.log(rate / (1 - rate)))
+    share = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) / max(len(rows), 1)
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, STEPS + 1):
         z = bias + np.bincount(of, w[at], len(rows))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = (p - y) / max(len(rows), 1)
-        grad = np.bincount(at, error[of], n_words) + 2 * ridge * w / max(n_words, 1)
+        error = (p - y) * share
+        grad = np.bincount(at, error[of], n_words) + 2 * ridge * w
         if len(row):
             slope = 2 * swap * (w[into] - w[out]) / len(row)
             grad += np.bincount(into, slope, n_words) - np.bincount(out, slope, n_words)
@@ -101,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     seen = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= MIN_DOCS)
     share = F.lit(pos / n)
     chi = F.pow(F.col("pos") - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) * (1 - F.col("n") / F.lit(n)) + 1e-9)
+    seen = seen.where(chi >= MIN_CHI)
     chosen = [r["word"] for r in seen.orderBy(F.desc(chi), "word").limit(max_words).collect()]  # max_words rows
     chosen = list(dict.fromkeys(chosen + list(identity)))
     index = {w: i for i, w in enumerate(chosen)}
