@@ -15,6 +15,8 @@ from .common import saved, small_batches, texts
 
 #: Words that a run of sentences has at least.
 MIN_WORDS = 25
+#: A run is frequent from this fraction of all runs on.
+HOT = 1000
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*")
 _WORD = re.compile(r"\w+")
 
@@ -41,42 +43,56 @@ def runs(counts: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, doc_id, first, last): a 128-bit hash of each run of sentences, by the sentences' numbers."""
+    """(h1, h2, doc_id, first, last, again): a 128-bit hash of each run of sentences, by the sentences' numbers.
+
+    again: the document has the same run before, so this one goes whatever other documents hold.
+    """
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, ids, firsts, lasts = [], [], [], []
+            digests, ids, firsts, lasts, agains = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 keys = [k for _, _, k in sentences(text)]
-                for first, end in runs([k.count(" ") + 1 if k else 0 for k in keys], min_words):
-                    digests.append(xxhash.xxh3_128_digest(" ".join([k for k in keys[first:end] if k]).encode("utf-8", "surrogatepass")))
+                worded = [i for i, k in enumerate(keys) if k]  # a run begins and ends with words, so it has one place
+                seen: set[bytes] = set()
+                for a, b_ in runs([keys[i].count(" ") + 1 for i in worded], min_words):
+                    digest = xxhash.xxh3_128_digest(" ".join([keys[i] for i in worded[a:b_]]).encode("utf-8", "surrogatepass"))
+                    agains.append(digest in seen)
+                    seen.add(digest)
+                    digests.append(digest)
                     ids.append(doc_id)
-                    firsts.append(first)
-                    lasts.append(end - 1)
+                    firsts.append(worded[a])
+                    lasts.append(worded[b_ - 1])
             h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
-                ["h1", "h2", "doc_id", "first", "last"],
+                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(agains, pa.bool_())],
+                ["h1", "h2", "doc_id", "first", "last", "again"],
             )
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "h1 long, h2 long, doc_id long, first int, last int")
+    return rows.mapInArrow(each, "h1 long, h2 long, doc_id long, first int, last int, again boolean")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gone array<struct<first, last>>): sentence runs whose words occur earlier, by (doc_id, place).
 
     Every sentence begins a run, the shortest of at least min_words words, and ends one; so each sentence of a
-    repeated passage that has so many words in whole sentences is covered. The first place of each hash is found
-    by a combined aggregation; only runs that occur twice are joined back, by their hash, and that join is an
-    equi-join that adaptive execution can split. Of the overlapping runs of a document, the union goes.
+    repeated passage that has so many words in whole sentences is covered. The least document of each hash is
+    found by a combined aggregation of fixed-width rows. Only runs that several rows hold are joined back: those
+    of more than a thousandth of all runs, fewer than a thousand, by broadcast, and the others by their hash.
+    Of the overlapping runs of a document, the union goes.
     """
     every = saved(spans(docs, min_words), "spans")
-    place = F.struct("doc_id", "first")
-    often = every.groupBy("h1", "h2").agg(F.min(place).alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "home")
-    later = every.join(often, ["h1", "h2"]).where(place > F.col("home"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("gone"))
+    fresh = every.where("NOT again").select("h1", "h2", "doc_id", "first", "last")
+    often = fresh.groupBy("h1", "h2").agg(F.min("doc_id").alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = saved(often, "often")
+    frequent = F.col("n") * HOT > every.count()
+    hot = F.broadcast(often.where(frequent).select("h1", "h2", "home"))
+    later = fresh.join(hot, ["h1", "h2"]).where("doc_id > home").select("doc_id", "first", "last")
+    rest = fresh.join(hot, ["h1", "h2"], "left_anti").join(often.where(~frequent), ["h1", "h2"]).where("doc_id > home")
+    gone = later.union(rest.select("doc_id", "first", "last")).union(every.where("again").select("doc_id", "first", "last"))
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("gone"))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
