@@ -28,22 +28,34 @@ class Engine:
 
     # --- keeping in step ---
 
-    def sync(self, revision: str | None = None, working_tree: bool = True) -> int:
-        """Bring the store to a revision, or to HEAD and the working tree; nothing changed, nothing is written."""
+    def _files(self, revision: str | None, working_tree: bool) -> DataFrame:
         files = git.files(self.spark, self.repo, revision or "HEAD").where("content IS NOT NULL")
         if working_tree and revision is None:
             files = git.with_working_tree(files, git.dirty(self.spark, self.repo))
-        files = files.select("path", "content").persist()
+        return files.select("path", "content")
+
+    def _same(self, now: DataFrame) -> bool:
         before = self.store.read("files")
+        return before is not None and now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty()
+
+    def is_current(self) -> bool:
+        """Whether the store holds what HEAD and the working tree do; nothing is written."""
+        return self._same(self._files(None, True).select("path", F.sha2("content", 256).alias("hash")))
+
+    def sync(self, revision: str | None = None, working_tree: bool = True) -> int:
+        """Bring the store to a revision, or to HEAD and the working tree; nothing changed, nothing is written."""
+        files = self._files(revision, working_tree).persist()
         now = files.select("path", F.sha2("content", 256).alias("hash"))
-        if before is not None and now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty():
+        if self._same(now):
             return self.store.version()
         nodes, edges = graph_tables.build(files)
         log = git.commits(self.spark, self.repo, revision=revision or "HEAD").select(F.col("oid").alias("commit"), F.timestamp_seconds("ts").alias("at"), F.col("paths").alias("files"))
         taken = cochange.capped(cochange.recent(log))
         id_of = lambda c: F.sha2(F.concat_ws(":", F.lit("file"), c), 256)
         pairs = taken.select(id_of("a").alias("from_id"), id_of("b").alias("to_id"), F.lit(4).alias("edge_type"), F.lit(0).alias("meta"))
-        return self.store.commit({"files": now, "nodes": nodes, "edges": edges.unionByName(pairs)})
+        version = self.store.commit({"files": now, "nodes": nodes, "edges": edges.unionByName(pairs)})
+        files.unpersist()
+        return version
 
     @property
     def nodes(self) -> DataFrame:
@@ -104,6 +116,16 @@ class Engine:
         node = self.nodes.where(F.col("id") == self.resolve(target)).first()
         return git.blame(self.spark, self.repo, [node["path"]], node["line_start"] or 0, node["line_end"])
 
+    def diff(self) -> DataFrame:
+        """(path, label, kind, side): symbols of files that differ from the index, and what directly depends on them."""
+        now = self._files(None, True).select("path", F.sha2("content", 256).alias("hash"))
+        paths = now.exceptAll(self.store.read("files")).select("path").distinct()
+        own = self.nodes.where("kind IN ('file', 'symbol')").join(F.broadcast(paths), "path", "left_semi").select("id", "path", "label", "kind")
+        links = graph.edge_filter(self.edges, graph.DEPENDENCIES)
+        near = links.join(own.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(own.select("id"), "id", "left_anti")
+        there = self.nodes.join(near, "id", "left_semi").select("path", "label", "kind", F.lit("dependent").alias("side"))
+        return own.select("path", "label", "kind", F.lit("changed").alias("side")).union(there)
+
     def report(self, top: int = 10) -> dict:
         return export.report(self.nodes, self.edges, top)
 

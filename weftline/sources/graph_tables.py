@@ -54,15 +54,50 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.union(imports)
 
 
+def aliased(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts whose specifiers go by a tsconfig alias or by a package of the tree, as places seen from the root."""
+    import json
+
+    def aliases(path: str, text: str) -> list[tuple]:
+        try:
+            if path.endswith("package.json"):
+                d = json.loads(E.jsonc(text))
+                place = path.rpartition("/")[0]
+                entry = d.get("source") or d.get("module") or d.get("main") or "src/index"
+                own = "/".join(x for x in (place, str(entry).removeprefix("./")) if x)
+                return [(d["name"], own, False), (d["name"] + "/", "/".join(x for x in (place, "src") if x) + "/", True)] if d.get("name") else []
+            options = json.loads(E.jsonc(text)).get("compilerOptions") or {}
+            base = "/".join(x for x in (path.rpartition("/")[0], str(options.get("baseUrl", ".")).strip("./")) if x)
+            found = []
+            for name, targets in (options.get("paths") or {}).items():
+                to = "/".join(x for x in (base, str(targets[0]).removeprefix("./")) if x)
+                found.append((name.rstrip("*"), to.rstrip("*"), name.endswith("*")))
+            return found
+        except (ValueError, AttributeError, IndexError, TypeError):
+            return []
+
+    named = E.over(files.where(r"path RLIKE '(^|/)(package\\.json|tsconfig[^/]*\\.json)$'"), aliases, "path string, name string, place string, prefix boolean")
+    named = named.select("name", "place", "prefix").dropDuplicates(["name"])
+    fits = F.when(F.col("prefix"), F.startswith("specifier", F.col("name"))).otherwise(F.col("specifier") == F.col("name"))
+    web = facts.where("lang IN ('typescript', 'tsx', 'javascript') AND specifier NOT LIKE '.%'")
+    # A repository's aliases are few: one task's reach of the manifests' rows.
+    longest = web.select("row", "specifier").join(F.broadcast(named), fits).groupBy("row").agg(F.max_by(F.struct("name", "place"), F.length("name")).alias("alias"))
+    joined = facts.join(longest, "row", "left")
+    place = F.concat(F.lit("./"), F.col("alias.place"), F.expr("substring(specifier, length(alias.name) + 1)"))
+    return joined.withColumn("folder", F.when(F.col("alias").isNotNull(), F.lit("")).otherwise(F.col("folder"))).withColumn("specifier", F.when(F.col("alias").isNotNull(), place).otherwise(F.col("specifier"))).drop("alias")
+
+
 def resolved_imports(files: DataFrame, facts: DataFrame) -> DataFrame:
     """Import facts with the tracked file that each specifier names.
 
-    Candidates in order: the place itself, its extension twins and index files; for Python, modules and packages
+    Aliases of tsconfig files and names of the tree's own packages are turned into places first. Candidates in
+    order: the place itself, its extension twins and index files; for Python, modules and packages
     from the file's folder (relative) or anywhere if only one fits; for Rust, modules beside or below; for Go,
     all files of the imported folder that aren't tests. Packages outside the tree have no target.
     """
     folder = F.regexp_replace(F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(""), "^/", "")
     own = facts.withColumn("folder", folder).withColumn("lang", C.language("path")).withColumn("row", F.xxhash64("path", "specifier", "kind"))
+    own = aliased(files, own)
     web = own.where("lang IN ('typescript', 'tsx', 'javascript') AND specifier LIKE '.%'")
     joined = F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), "specifier")
     flat = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda acc, s: F.when(s.isin(".", ""), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
