@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, lines, packing, quality, simhash
-from weftline.llm.common import by_ids, read, saved
+from weftline.llm.common import by_ids, id_set, read, saved
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each near-duplicate group; rows without a doc_id stay."""
     groups = simhash.groups(docs.select("doc_id", "text"))
-    return by_ids(docs, groups.where("doc_id <> component_id").select("doc_id"), "left_anti")
+    return by_ids(docs, id_set(groups.where("doc_id <> component_id").select("doc_id")), "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch takes to a Python worker; bounds a worker's memory on long texts.
 BATCH_ROWS = 500
@@ -40,6 +41,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in at most two partitions a core, for tables much smaller than the corpus: as many files and no more."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def measured(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """saved(df), and aggregates over it that the same job takes; n is the number of rows."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in values.items()]), name)
+    return out, seen.get
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to BATCH_ROWS rows, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -63,11 +76,12 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
 BROADCAST_IDS = 2_000_000
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs left_semi or left_anti by doc_id in ids (one column of longs, any name). Null ids match nothing."""
-    from pyspark.sql import functions as F
+def id_set(ids: DataFrame) -> DataFrame:
+    """The distinct longs of a column, saved once for several joins; marked for broadcast if they are few enough."""
+    own, size = measured(few(ids.toDF("__id").where("__id IS NOT NULL").distinct()), "ids")
+    return F.broadcast(own) if size["n"] <= BROADCAST_IDS else own
+
 
-    ids = ids.toDF("__id").where("__id IS NOT NULL").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs left_semi or left_anti by doc_id in an id_set. Null doc_ids match nothing."""
     return docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], how)

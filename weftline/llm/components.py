@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few, measured
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-    return row["n"], row["x"]
+def _saved(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The links, their number and a mark of the whole set. They join what is alike, so they are few beside the rows."""
+    return measured(few(edges), "links", x=F.expr("bit_xor(xxhash64(u, v))"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,19 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     node are plain equi-joins, which adaptive execution splits where a node has very many links. Self links
     and nulls are ignored; no links give no rows.
     """
-    now = saved(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
-    )
-    mark = _mark(now)
-    while mark[0]:
+    now, mark = _saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while mark["n"]:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(least).distinct(), "links")
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _saved(small.union(least).distinct())
         if before == mark:
             break
     return now

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_ids, id_set
+
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Shingles of the items that are broadcast at once (8 bytes each, and a fifth of them again as signatures).
 BLOCK_SHINGLES = 2_000_000
@@ -85,5 +87,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, contain
 
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """docs without the documents that hold a benchmark item. Rows without a doc_id stay."""
-    bad = leaks(docs, benchmark, shingle, containment).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+    return by_ids(docs, id_set(leaks(docs, benchmark, shingle, containment).select("doc_id")), "left_anti")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, byte_texts, saved, small_batches
+from .common import by_ids, byte_texts, few, id_set, measured, saved, small_batches
 
 #: Bytes in an n-gram.
 ORDER = 5
@@ -78,7 +78,7 @@ def ngram_counts(trusted: DataFrame) -> DataFrame:
 
     keys = ["lang", "fold", "code"]
     top = trusted.mapInArrow(each, "lang string, fold int, code long, c long").groupBy(*keys).agg(F.sum("c").alias("c"))
-    top = saved(top, "ngrams")
+    top = saved(few(top), "ngrams")
     every, order = top.select("lang", "fold", F.lit(ORDER).alias("k"), "code", "c"), top
     for k in range(ORDER - 1, 0, -1):
         order = order.select("lang", "fold", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
@@ -161,22 +161,21 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = saved(ngram_counts(trusted), "counts")
+    counts, size = measured(few(ngram_counts(trusted)), "counts")
     discount = discounts(counts)
-    shards = max(1, math.ceil(counts.count() / SHARD_TYPES))
+    shards = max(1, math.ceil(size["n"] / SHARD_TYPES))
+    names = sorted({key[0] for key in discount})
+    number = F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)]), F.col("lang")) if names else F.lit(0)
     before = F.shiftright("code", 8).bitwiseAND(F.lit(255))
     found = None
     for shard in range(shards):
-        own = counts.where((F.col("k") == 1) | (_shard(F.col("lang"), before, shards) == shard)).toArrow()
+        own = counts.where((F.col("k") == 1) | (_shard(F.col("lang"), before, shards) == shard))
+        own = own.select(((number * 2 + F.col("fold")) * 8 + F.col("k")).cast("int").alias("key"), "code", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+        key, code, c = (own.column(x).to_numpy() for x in ("key", "code", "c"))
         tables: dict[tuple[str, int], dict] = {}
-        lang, fold, order = own.column("lang").to_pandas().astype("category"), own.column("fold").to_numpy(), own.column("k").to_numpy()
-        code, c = own.column("code").to_numpy(), own.column("c").to_numpy()
-        names, which = list(lang.cat.categories), lang.cat.codes.to_numpy()
-        for i, name in enumerate(names):
-            for f in (0, 1):
-                some = (which == i) & (fold == f)
-                if some.any():
-                    tables[name, f] = {k: (code[some & (order == k)], c[some & (order == k)]) for k in range(1, ORDER + 1)}
+        for x in np.unique(key).tolist():
+            some = key == x
+            tables.setdefault((names[x // 16], x // 8 % 2), {})[x % 8] = (code[some], c[some])
         models = {key: Model(t, {k: discount[*key, k] for k in t if (*key, k) in discount}) for key, t in tables.items()}
         mine = None
         if shards > 1:
@@ -185,7 +184,8 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             for r in grid.where(_shard(F.col("lang"), F.col("b"), shards) == shard).collect():
                 mine[r["lang"]][r["b"]] = True
         held = spark.sparkContext.broadcast((models, mine))
-        del own, tables, models
+        del own, key, code, c, tables, models
+        pa.default_memory_pool().release_unused()
 
         def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             models, mine = held.value
@@ -238,10 +238,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     documents have a null perplexity and are kept. Null and empty texts have the language's mean, and are kept.
     Null doc_ids are scored; rows that repeat are scored each, and count each. Empty tables give no rows.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good")).where("good IS NOT NULL").distinct()
+    good = id_set(labels.where("quality = 1").select(F.col("doc_id").cast("long")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     scored = saved(scores(rows, by_ids(rows, good, "left_semi")), "scores")
-    sure = saved(by_ids(scored.where("nll IS NOT NULL"), good, "left_semi"), "trusted")
+    sure = by_ids(scored.where("nll IS NOT NULL"), good, "left_semi")
     mean = sure.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     level = (F.col("nll") + PRIOR_BYTES * F.col("mean")) / (F.col("n") + PRIOR_BYTES)
     mean = F.broadcast(mean)  # a row for each language
@@ -257,4 +257,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without the rejected documents. Rows without a doc_id stay."""
-    return by_ids(docs, classify(docs, labels, quantile).where("NOT keep").select("doc_id"), "left_anti")
+    return by_ids(docs, id_set(classify(docs, labels, quantile).where("NOT keep").select("doc_id")), "left_anti")

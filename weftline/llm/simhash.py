@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, saved, small_batches
+from .common import byte_texts, measured, saved, small_batches
 from .components import components
 
 SHINGLE, BUDGET = 4, 4
@@ -185,8 +185,8 @@ def _split(keys: DataFrame, budget: int, depth_of: dict[int, int]) -> DataFrame:
     return keys.select("fp", F.explode(spread).alias("x")).select("fp", "x.t", "x.key", "x.depth")
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """(u, v): enough links between distinct fingerprints (fp) to give the components of all pairs within budget.
+def links(distinct: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, n: int | None = None) -> DataFrame:
+    """(u, v): enough links between n distinct fingerprints (fp) to give the components of all pairs within budget.
 
     Fingerprints that differ in at most budget bits agree in one of budget + 1 blocks, so the trie is laid out
     once for each block, that block's bits first, and only like nodes are paired along it: every subtree below
@@ -200,9 +200,10 @@ def links(distinct: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) ->
     prefix = F.expr("shiftrightunsigned(key, 64 - depth)")
     while True:
         todo = _split(todo, budget, depth_of).withColumn("g", prefix)
-        deep = max(depth_of.values()) > 56
-        large = None if deep else saved(todo.groupBy("t", "g").count().where(F.col("count") > subtree).select("t", "g"), "large")
-        done = large is None or large.isEmpty()
+        done = max(depth_of.values()) > 56 or (n is not None and n <= subtree)  # no subtree holds more than all
+        if not done:
+            large, size = measured(todo.groupBy("t", "g").count().where(F.col("count") > subtree).select("t", "g"), "large")
+            done = not size["n"]
         now = todo if done else todo.join(large, ["t", "g"], "left_anti").select(*todo.columns)
         fit = now if fit is None else fit.unionByName(now)
         if done:
@@ -254,16 +255,17 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> Dat
     kept, each with its own fingerprint; a null doc_id gets the least id that it reaches. An empty table gives
     no rows. Copies meet in one distinct fingerprint before anything is compared.
     """
-    each = saved(fingerprints(docs, shingle), "fingerprints")
-    least = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    forest = components(links(least.select("fp"), budget))
+    each, rows = measured(fingerprints(docs, shingle), "fingerprints")
+    least, size = measured(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    forest = components(links(least.select("fp"), budget, n=size["n"]))
     member = forest.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     member = member.union(forest.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     smallest = member.join(least, "fp").groupBy("root").agg(F.min("least").alias("smallest"))
     linked = member.join(smallest, "root").select("fp", "smallest")
     label = least.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), "n")
+    label = saved(label, "components")
     # Fingerprints of more than a thousandth of all rows are fewer than a thousand: theirs are joined by broadcast.
-    hot = F.broadcast(saved(label.where(F.col("n") * HOT > each.count()).select("fp", "component_id"), "hot"))
+    hot = F.broadcast(label.where(F.col("n") * HOT > rows["n"]).select("fp", "component_id"))
     often = each.join(hot, "fp").select("doc_id", "fp", "component_id")
     rest = each.join(hot, "fp", "left_anti").join(label, "fp").select("doc_id", "fp", "component_id")
     return often.unionByName(rest)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, saved, small_batches, texts
+from .common import few, saved, small_batches, texts
 
 #: Labelled rows that are fitted (those of the least hashes of their ids), and words that may have a weight.
 MAX_ROWS, MAX_WORDS = 20_000, 4_000
@@ -97,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(_words(t)) for t in texts(b.column(2))], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    labelled = by_ids(rows, own.select("doc_id"), "left_semi").dropDuplicates(["doc_id"]).join(F.broadcast(own), "doc_id").select("doc_id", "toxic", "text")
-    bags = saved(labelled.mapInArrow(split, "doc_id long, toxic int, words array<string>"), "bags")
+    labelled = rows.join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    bags = saved(few(labelled).mapInArrow(split, "doc_id long, toxic int, words array<string>"), "bags")
     size = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = size["n"], size["pos"]
     if not n:
