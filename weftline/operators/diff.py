@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE, SPLIT = 0.5, 0.3
-TOOL_TABLES = ("databasechangelog", "databasechangeloglock", "flyway_schema_history", "schema_migrations")
+TOOL_TABLES = ("databasechangelog", "databasechangeloglock", "flyway_schema_history")
 
 
 def changes(old: DataFrame, new: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
