@@ -16,16 +16,16 @@ def _id(kind: str, key: int) -> str:
     return hashlib.sha256(f"{kind}:{key}".encode()).hexdigest()
 
 
-def first_supplier(spark: SparkSession, sf_dir: str) -> str:
-    return _id("file", table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0])
+def last_supplier(spark: SparkSession, sf_dir: str) -> str:
+    return _id("file", table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0])
 
 
 def g_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.affected(*graph(spark, sf_dir), first_supplier(spark, sf_dir)).drop("omitted")
+    return G.affected(*graph(spark, sf_dir), last_supplier(spark, sf_dir)).drop("omitted")
 
 
 def g_affected_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.affected(*graph(spark, sf_dir), first_supplier(spark, sf_dir)).select("depth", "omitted").distinct()
+    return G.affected(*graph(spark, sf_dir), last_supplier(spark, sf_dir)).select("depth", "omitted").distinct()
 
 
 def g_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,11 @@ def g_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.trace(*graph(spark, sf_dir), first_supplier(spark, sf_dir), depth=2)
+    return G.trace(*graph(spark, sf_dir), last_supplier(spark, sf_dir), depth=2)
 
 
 def g_expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.expand(*graph(spark, sf_dir), [first_supplier(spark, sf_dir)], depth=2, max_nodes=60).drop("parent")
+    return G.expand(*graph(spark, sf_dir), [last_supplier(spark, sf_dir)], depth=2, max_nodes=60).drop("parent")
 
 
 def g_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def g_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.explain(*graph(spark, sf_dir), first_supplier(spark, sf_dir))
+    return G.explain(*graph(spark, sf_dir), last_supplier(spark, sf_dir))
 
 
 def g_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ QUERIES = {f.__name__: f for f in (g_affected, g_affected_omitted, g_summary, g_
 
 _G = f"WITH {SQL_NODES},{SQL_EDGES}"
 _WALK = "(0,1,2,5,6,7,8,9,10)"
-_ROOT = "(SELECT sha256('file:' || min(s_suppkey)) FROM supplier)"
+_ROOT = "(SELECT sha256('file:' || max(s_suppkey)) FROM supplier)"
 _CTX = "['runtime','type_only','test','spec','annotation','embedding']"
 _LIVE = "live AS (SELECT e.* FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE edge_type IN (1,5,6,7,8,9,10))"
 _DEGREES = "half AS (SELECT from_id AS id, 1 AS o, 0 AS i FROM live UNION ALL SELECT to_id, 0, 1 FROM live), degrees AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM half GROUP BY id)"
@@ -212,7 +212,7 @@ SELECT id, label, kind, depth, {SQL_RELATION.format('via.edge_type')} AS relatio
 w AS (SELECT id, via, pos AS seq, 1 AS depth FROM e1 UNION ALL SELECT id, via, pos + (SELECT count(*) FROM e1), 2 FROM e2)
 SELECT CAST(seq AS INTEGER) AS seq, id, depth, {SQL_RELATION.format('via.edge_type')} AS relation, via.back = 0 AS forward, via.meta AS meta FROM w""",
     "g_shortest_path": f"""{_G.replace("WITH", "WITH RECURSIVE", 1)}, both_ways AS (SELECT from_id AS a, to_id AS b FROM edges WHERE edge_type = 5 UNION SELECT to_id, from_id FROM edges WHERE edge_type = 5),
-w AS (SELECT {_ROOT} AS id, 0 AS d UNION SELECT b, d + 1 FROM w JOIN both_ways ON a = w.id WHERE d < 6)
+w AS (SELECT (SELECT sha256('file:' || min(s_suppkey)) FROM supplier) AS id, 0 AS d UNION SELECT b, d + 1 FROM w JOIN both_ways ON a = w.id WHERE d < 6)
 SELECT coalesce(min(d), -1) AS hops FROM w WHERE id = (SELECT sha256('file:' || max(s_suppkey)) FROM supplier)""",
     "g_explain": f"""{_G}, x AS (SELECT 'dependencies' AS side, to_id AS id, edge_type, meta FROM edges WHERE from_id = {_ROOT} AND edge_type IN (1,5,6,7,8,9,10)
 UNION ALL SELECT 'dependents', from_id, edge_type, meta FROM edges WHERE to_id = {_ROOT} AND edge_type IN (1,5,6,7,8,9,10)),
