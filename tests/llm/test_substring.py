@@ -1,17 +1,36 @@
 import random
 import re
+import zlib
 
 from weftline.llm import substring
 
 from .corpora import edge_rows, empty, frame
 
 
+def cut(text):
+    """(start, end, words) of sentences, the long ones cut after words that their hash chooses."""
+    out = []
+    for m in re.finditer(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*", text):
+        if m.end() == m.start():
+            continue
+        pieces = re.findall(r"\S+\s*|^\s+", m.group())
+        ends = []
+        if m.group().count(" ") >= 16:
+            at = m.start()
+            for piece in pieces:
+                at += len(piece)
+                if piece.strip() and at < m.end() and zlib.crc32(piece.strip().lower().encode()) % 8 == 0:
+                    ends.append(at)
+        for a, b in zip([m.start(), *ends], [*ends, m.end()], strict=True):
+            out.append((a, b, re.findall(r"\w+", text[a:b].lower())))
+    return out
+
+
 def plain(rows, least=25):
     seen, out = {}, {}
     split = []
     for d, t in rows:
-        cuts = [m for m in re.finditer(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*", t or "") if m.end() > m.start()]
-        split.append((d, t or "", [(m.start(), m.end(), re.findall(r"\w+", m.group().lower())) for m in cuts]))
+        split.append((d, t or "", cut(t or "")))
     runs = []
     for d, _, ss in split:
         if d is None:
@@ -34,12 +53,12 @@ def plain(rows, least=25):
             gone.setdefault(d, set()).update(range(i, j))
     for d, t, ss in split:
         drop = gone.get(d, set())
-        out.setdefault(d, []).append((len(ss), len(drop), "".join(t[s:e] for k, (s, e, _) in enumerate(ss) if k not in drop)))
+        out.setdefault(d, []).append((len(drop), "".join(t[s:e] for k, (s, e, _) in enumerate(ss) if k not in drop)))
     return sorted(((d, *x) for d, xs in out.items() for x in xs), key=str)
 
 
 def got(df):
-    return sorted(map(tuple, substring.dedup_substrings(df).select("doc_id", "n_sentences", "n_removed", "kept").collect()), key=str)
+    return sorted(map(tuple, substring.dedup_substrings(df).select("doc_id", "n_removed", "kept").collect()), key=str)
 
 
 def sentence(rng, n):
@@ -65,7 +84,7 @@ def test_long_passages_go_from_all_but_the_first(spark):
     out = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0].n_removed == 0
     for d in range(1, 20):
-        assert out[d].n_removed == 6 and [rows[d][1][s.start : s.end].strip() for s in out[d].removed] == [passage]
+        assert out[d].n_removed >= 6 and [rows[d][1][s.start : s.end].strip() for s in out[d].removed] == [passage]
 
 
 def test_edge_cases(spark):
@@ -78,3 +97,14 @@ def test_edge_cases(spark):
 def test_runs_are_the_shortest_each_way():
     assert substring.runs([10, 10, 10], 25) == [(0, 3)]
     assert substring.runs([], 5) == [] and substring.runs([3], 5) == []
+
+
+def test_cuts_fall_alike_wherever_a_passage_is(spark):
+    rng = random.Random(13)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(120))  # no stops at all
+    rows = [(d, " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))) + f" {passage} " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(9))) for d in range(12)]
+    out = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].n_removed == 0
+    for d in range(1, 12):
+        gone = " ".join(rows[d][1][s.start : s.end] for s in out[d].removed).split()
+        assert len(gone) > 60 and all(w[0] == "p" for w in gone)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def wide_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of the usual size, for the jobs run within: those on narrow rows without texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text, one at a time; null as empty."""
     for x in column.cast(pa.binary()):

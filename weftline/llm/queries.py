@@ -37,9 +37,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed: the spans that go, and the kept text's SHA-256."""
+    """doc_id, n_removed, removed, kept_sha256: the sentences and spans that go, and the kept text's SHA-256."""
     out = substring.dedup_substrings(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_sentences", "n_removed", F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_removed", F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

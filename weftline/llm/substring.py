@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +12,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, texts
+from .common import saved, small_batches, texts, wide_batches
 
 #: Words that a run of sentences has at least.
 MIN_WORDS = 25
-#: A run is frequent from this fraction of all runs on.
-HOT = 1000
+#: Spaces that a sentence has before it is cut, and how rare the words are after which it is.
+LONG, CUT = 16, 8
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*")
 _WORD = re.compile(r"\w+")
+_RUN = re.compile(r"(\S+)\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, key) of each sentence: up to its stops or newline, with the blanks after them; key: its words."""
+    """(start, end, key) of each sentence: up to its stops or newline, with the blanks after them; key: its words.
+
+    A sentence with LONG spaces or more is cut after words that their own hash chooses, about one in CUT: those
+    cuts fall alike in every copy of a passage, wherever it was put in.
+    """
     found = []
     for m in _SENTENCE.finditer(text):
-        if m.end() > m.start():
-            found.append((m.start(), m.end(), " ".join(_WORD.findall(m.group().lower()))))
+        start, end = m.span()
+        if start == end:
+            continue
+        if m.group().count(" ") >= LONG:
+            for w in _RUN.finditer(text, start, end):
+                if crc32(w[1].lower().encode("utf-8", "surrogatepass")) % CUT == 0 and w.end() < end:
+                    found.append((start, w.end(), " ".join(_WORD.findall(text[start : w.end()].lower()))))
+                    start = w.end()
+        found.append((start, end, " ".join(_WORD.findall(text[start:end].lower()))))
     return found
 
 
@@ -74,29 +87,65 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(each, "h1 long, h2 long, doc_id long, first int, last int, again boolean")
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h1, h2, doc_id): those whose hash an earlier document of the task has (kind 0).
+
+    The task's first hash may have begun in another task: its rows wait (kind 1). Its least document, and the
+    least of the last hash, which may go on in another task, are told (kind 2).
+    """
+    names, kinds = ["kind", "h1", "h2", "doc_id", "first", "last"], (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32)
+
+    def out(*columns) -> pa.RecordBatch:
+        n = len(columns[3])
+        full = (x if isinstance(x, np.ndarray) else np.full(n, x) for x in columns)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(full, kinds, strict=True)], names)
+
+    opening, run, home, least = None, None, 0, 0
+    for b in batches:
+        h1, h2, doc, first, last = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if not len(h1):
+            continue
+        if run is None:
+            opening, least = (int(h1[0]), int(h2[0])), int(doc[0])
+        new = np.concatenate([[(int(h1[0]), int(h2[0])) != run], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+        homes = np.where(begin >= 0, doc[np.maximum(begin, 0)], home)
+        wait = (h1 == opening[0]) & (h2 == opening[1])
+        gone = (doc > homes) & ~wait
+        if gone.any():
+            yield out(0, 0, 0, doc[gone], first[gone], last[gone])
+        if wait.any():
+            yield out(1, h1[wait], h2[wait], doc[wait], first[wait], last[wait])
+        run, home = (int(h1[-1]), int(h2[-1])), int(homes[-1])
+    if run is not None:
+        yield out(2, *opening, np.array([least]), 0, 0)
+        if run != opening:
+            yield out(2, *run, np.array([home]), 0, 0)
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gone array<struct<first, last>>): sentence runs whose words occur earlier, by (doc_id, place).
 
     Every sentence begins a run, the shortest of at least min_words words, and ends one; so each sentence of a
-    repeated passage that has so many words in whole sentences is covered. The least document of each hash is
-    found by a combined aggregation of fixed-width rows. Only runs that several rows hold are joined back: those
-    of more than a thousandth of all runs, fewer than a thousand, by broadcast, and the others by their hash.
-    Of the overlapping runs of a document, the union goes.
+    repeated passage that has so many words in whole sentences is covered. Runs are joined globally by one
+    shuffle: range-partitioned by (hash, document), so a run that very many documents hold is spread over many
+    tasks, and streamed in that order. What a task can't tell alone, of its first hash, is settled by at most two
+    rows a task, which are broadcast. Of the overlapping runs of a document, the union goes.
     """
     every = saved(spans(docs, min_words), "spans")
     fresh = every.where("NOT again").select("h1", "h2", "doc_id", "first", "last")
-    often = fresh.groupBy("h1", "h2").agg(F.min("doc_id").alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    often = saved(often, "often")
-    frequent = F.col("n") * HOT > every.count()
-    hot = F.broadcast(often.where(frequent).select("h1", "h2", "home"))
-    later = fresh.join(hot, ["h1", "h2"]).where("doc_id > home").select("doc_id", "first", "last")
-    rest = fresh.join(hot, ["h1", "h2"], "left_anti").join(often.where(~frequent), ["h1", "h2"]).where("doc_id > home")
-    gone = later.union(rest.select("doc_id", "first", "last")).union(every.where("again").select("doc_id", "first", "last"))
+    ordered = fresh.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
+    with wide_batches(docs.sparkSession):
+        found = saved(ordered.mapInArrow(_later, "kind byte, h1 long, h2 long, doc_id long, first int, last int"), "repeats")
+    home = F.broadcast(found.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc_id").alias("home")))
+    late = found.where("kind = 1").join(home, ["h1", "h2"]).where("doc_id > home")
+    gone = found.where("kind = 0").select("doc_id", "first", "last").union(late.select("doc_id", "first", "last"))
+    gone = gone.union(every.where("again").select("doc_id", "first", "last"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("gone"))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, removed, kept): what goes as code point spans, and the text that stays.
+    """(doc_id, n_removed, removed, kept): how many sentences go, their code point spans, and the text that stays.
 
     A null or empty text has no sentences and comes back empty. Rows of one doc_id count as one document, a row
     that repeats another whole loses nothing to it; rows without a doc_id are kept whole. The same holds for
@@ -108,25 +157,28 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made: list[list] = [[], [], [], []]
+            made: list[list] = [[], [], []]
             for text, runs_ in zip(texts(b.column(1)), b.column(2), strict=True):
-                parts = sentences(text)
-                drop = np.zeros(len(parts) + 1, np.int32)
-                for r in runs_.as_py() or ():
-                    drop[r["first"]] += 1
-                    drop[r["last"] + 1] -= 1
-                out = np.cumsum(drop[:-1]) > 0
                 removed: list[dict] = []
-                for (start, end, _), x in zip(parts, out.tolist(), strict=True):
-                    if x and removed and removed[-1]["end"] == start:
-                        removed[-1]["end"] = end
-                    elif x:
-                        removed.append({"start": start, "end": end})
-                kept = "".join(text[s:e] for (s, e, _), x in zip(parts, out.tolist(), strict=True) if not x) if removed else text
-                for column, x in zip(made, (len(parts), int(out.sum()), removed, kept), strict=True):
+                kept, n = text, 0
+                if runs_.is_valid:
+                    parts = sentences(text)
+                    drop = np.zeros(len(parts) + 1, np.int32)
+                    for r in runs_.as_py():
+                        drop[r["first"]] += 1
+                        drop[r["last"] + 1] -= 1
+                    out = (np.cumsum(drop[:-1]) > 0).tolist()
+                    n = sum(out)
+                    for (start, end, _), x in zip(parts, out, strict=True):
+                        if x and removed and removed[-1]["end"] == start:
+                            removed[-1]["end"] = end
+                        elif x:
+                            removed.append({"start": start, "end": end})
+                    kept = "".join(text[s:e] for (s, e, _), x in zip(parts, out, strict=True) if not x)
+                for column, x in zip(made, (n, removed, kept), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], ["doc_id", "n_sentences", "n_removed", "removed", "kept"])
+            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], ["doc_id", "n_removed", "removed", "kept"])
 
     joined = rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone")  # texts aren't sorted
-    return joined.mapInArrow(each, "doc_id long, n_sentences long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
+    return joined.mapInArrow(each, "doc_id long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
