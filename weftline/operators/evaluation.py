@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .sizes import small
 
 REQUIREMENT_WEIGHT = 50
 
@@ -35,7 +36,7 @@ def savings(cost: Column, baseline: Column) -> Column:
 def grep_baseline(docs: DataFrame, terms: DataFrame, id_column: str) -> DataFrame:
     """(query_id, lines, line_tokens, files, file_tokens): lines that hold a term (query_id, term), and their files whole."""
     lines = docs.select(F.col(id_column).alias("id"), C.token_estimate("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    hits = lines.join(F.broadcast(terms), F.col("line").contains(F.col("term")))
+    hits = lines.join(small(terms), F.col("line").contains(F.col("term")))
     each = hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("lines"), F.sum(C.token_estimate("line") + 1).alias("tokens"), F.first("whole").alias("whole"))
     return each.groupBy("query_id").agg(F.sum("lines").alias("lines"), F.sum("tokens").alias("line_tokens"), F.count(F.lit(1)).alias("files"), F.sum("whole").alias("file_tokens"))
 
@@ -64,7 +65,7 @@ def coverage_curve(ranked: DataFrame, tokens: str, shares: tuple[int, ...] = (20
     above = Window.orderBy(F.desc("importance")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct importance
     levels = levels.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
     total = ranked.agg(F.count(F.lit(1)).alias("total"))
-    placed = ranked.join(F.broadcast(levels.select("importance", "before")), "importance")
+    placed = ranked.join(small(levels.select("importance", "before")), "importance")
     placed = placed.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("importance").orderBy(key)))
     cut = placed.crossJoin(F.broadcast(total)).select("place", tokens, "total", F.explode(F.array(*map(F.lit, shares))).alias("share"))
     return cut.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("total") * F.col("share") / 100))).groupBy("share").agg(F.count(F.lit(1)).alias("files"), F.sum(tokens).alias("tokens"))

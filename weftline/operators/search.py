@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .sizes import small
 
 K1, B = 1.2, 0.75
 RRF_K, LEXICAL, VECTOR = 60, 1.0, 0.1
@@ -34,13 +35,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_column: str, text: str = "text"
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokenizer("text"))).alias("term"))
     split = docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms")).withColumn("len", F.size("terms"))
     size = split.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    hits = split.select("id", "len", F.explode("terms").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term")
+    wanted = small(wanted)
+    hits = split.select("id", "len", F.explode("terms").alias("term")).join(small(wanted.select("term").distinct()), "term")
     hits = hits.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # one row of sizes
+    weighed = hits.join(df, "term").crossJoin(F.broadcast(size))  # one row of sizes
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    scored = weighed.withColumn("part", part).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -54,14 +56,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 1.0).otherwise(1 - F.least(F.greatest(dot(x, y) / norms, F.lit(-1.0)), F.lit(1.0)))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id") -> DataFrame:
-    """(query_id, rank, id, distance): exact neighbours of a few queries (query_id, embedding), their own id left out.
+#: Queries that are broadcast at once; more are taken in blocks, each of which scans the candidates.
+QUERY_BLOCK = 10_000
 
-    The queries are broadcast; the candidates are scanned where they lie, and each task hands on its k best.
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, id, distance): exact neighbours of queries (query_id, embedding), their own id left out.
+
+    The queries are broadcast in blocks of a bounded size; the candidates are scanned where they lie, and each
+    task hands on its k best.
     """
+    blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = rows.select(F.col(id_column).alias("id"), "embedding").join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
+    candidates, scored = rows.select(F.col(id_column).alias("id"), "embedding"), None
+    for b in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        pairs = candidates.join(F.broadcast(own), F.col("id") != F.col("query_id"))
+        part = pairs.select("query_id", "id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
+        scored = part if scored is None else scored.union(part)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
@@ -82,7 +94,7 @@ def overlay(scored: DataFrame, lessons: DataFrame, boost: float = BOOST, penalty
 def similar(rows: DataFrame, k: int = 3, threshold: float = 0.75, id_column: str = "vec_id") -> DataFrame:
     """(id, other, similarity15): each row's k nearest by cosine from the threshold on, in fifteenths; one-sided.
 
-    For collections that a broadcast holds; larger ones go through nearest() in blocks of queries.
+    All rows are queries, in nearest()'s blocks.
     """
     queries = rows.select(F.col(id_column).alias("query_id"), "embedding")
     near = nearest(rows, queries, k, id_column).where((1 - F.col("distance")) >= threshold)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import budget, cochange, communities, evaluation, memory, search
+from ..operators.sizes import small
 from .starschema import SQL_EDGES, SQL_NODES, graph, table
 
 _DOCS, _K = "documents", 20
@@ -142,7 +143,7 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's first eight words are what a question for them should find."""
     docs = table(spark, sf_dir, _DOCS).select("doc_id", F.lower("text").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("own"))
-    return docs.join(F.broadcast(items), F.col("text").contains(F.col("own"))).select("query_id", F.col("doc_id").alias("id"))
+    return docs.join(small(items), F.col("text").contains(F.col("own"))).select("query_id", F.col("doc_id").alias("id"))
 
 
 def b_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.sizes import small
 from . import extract as E
 
 NODE = ["id", "kind", "label", "path", "name", "title", "body", "line_start", "line_end", "source_hash", "text"]
@@ -81,7 +82,7 @@ def aliased(files: DataFrame, facts: DataFrame) -> DataFrame:
     fits = F.when(F.col("prefix"), F.startswith("specifier", F.col("name"))).otherwise(F.col("specifier") == F.col("name"))
     web = facts.where("lang IN ('typescript', 'tsx', 'javascript') AND specifier NOT LIKE '.%'")
     # A repository's aliases are few: one task's reach of the manifests' rows.
-    longest = web.select("row", "specifier").join(F.broadcast(named), fits).groupBy("row").agg(F.max_by(F.struct("name", "place"), F.length("name")).alias("alias"))
+    longest = web.select("row", "specifier").join(small(named), fits).groupBy("row").agg(F.max_by(F.struct("name", "place"), F.length("name")).alias("alias"))
     joined = facts.join(longest, "row", "left")
     place = F.concat(F.lit("./"), F.col("alias.place"), F.expr("substring(specifier, length(alias.name) + 1)"))
     return joined.withColumn("folder", F.when(F.col("alias").isNotNull(), F.lit("")).otherwise(F.col("folder"))).withColumn("specifier", F.when(F.col("alias").isNotNull(), place).otherwise(F.col("specifier"))).drop("alias")
