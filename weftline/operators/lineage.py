@@ -1,26 +1,62 @@
-"""Cutting lineage between the rounds of an iterative operator."""
+"""Tables and small files in the folder that the cluster shares: cut lineage, manifests."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the session names in spark.checkpoint.dir, read again.
-
-    Every executor can read it, so a lost one costs nothing but its tasks. Where the session names no folder
-    (tests on one machine), a local one is made. The table goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only where it names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at}/round-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return at
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text by whatever file system its path names; None if it isn't there."""
+    at, fs = _place(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step, by whatever file system its path names."""
+    at, fs = _place(spark, path)
+    new, _ = _place(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop, sc = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+    rename = getattr(hadoop, "Options$Rename")
+    options = sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(at), options)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again.
+
+    Every executor can read it, so a lost one costs nothing but its tasks. The table goes when the session's JVM
+    ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import diff
+from ..operators.lineage import shared_dir
 from ..streaming import feeds
 from .starschema import table
 
@@ -79,9 +79,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _once(stream: DataFrame, mode: str) -> DataFrame:
-    at = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
     name = f"stream_{uuid.uuid4().hex}"
-    return feeds.once(stream, name, mode, f"{at}/{name}")
+    return feeds.once(stream, name, mode, f"{shared_dir(stream.sparkSession)}/{name}")
 
 
 def st_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +105,7 @@ def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_upsert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of each user, where errors remove the user; batches go through the versioned sink."""
     own = _events(spark, sf_dir).withColumn("op", F.when(F.col("event_type") == "error", "remove").otherwise("upsert"))
-    at = tempfile.mkdtemp(prefix="weftline-sink-")
+    at = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     sink = feeds.VersionedSink(f"{at}/table")
     query = own.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import read_text, write_text
+
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files that arrive in a folder."""
@@ -57,27 +58,22 @@ class VersionedSink:
 
     def __init__(self, path: str) -> None:
         self.path = path
-        os.makedirs(path, exist_ok=True)
 
-    def _manifest(self) -> dict:
-        try:
-            with open(f"{self.path}/manifest.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"batches": []}
+    def _manifest(self, spark: SparkSession) -> dict:
+        text = read_text(spark, f"{self.path}/manifest.json")
+        return json.loads(text) if text else {"batches": []}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        manifest = self._manifest()
+        spark = batch.sparkSession
+        manifest = self._manifest(spark)
         if batch_id in manifest["batches"] or batch.isEmpty():
             return
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
         manifest["batches"].append(batch_id)
-        with open(f"{self.path}/manifest.tmp", "w") as f:
-            json.dump(manifest, f)
-        os.replace(f"{self.path}/manifest.tmp", f"{self.path}/manifest.json")
+        write_text(spark, f"{self.path}/manifest.json", json.dumps(manifest))
 
     def read(self, spark: SparkSession, key: str, order: list[str], op: str) -> DataFrame:
-        paths = [f"{self.path}/batch-{b}" for b in self._manifest()["batches"]]
+        paths = [f"{self.path}/batch-{b}" for b in self._manifest(spark)["batches"]]
         return latest(spark.read.parquet(*paths), key, ["batch_id", *order], op)
 
 
