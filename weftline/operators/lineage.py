@@ -48,6 +48,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(at), options)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it, if it is there."""
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    at, fs = _place(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again.
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
+import hashlib
 import json
 import os
-import shutil
+import tempfile
 import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .graph import should_compact
+from .lineage import delete, folders, read_text, write_text
 
 FORMAT = 1
 
@@ -22,7 +24,7 @@ class Busy(RuntimeError):
 
 
 class Store:
-    """Tables under one folder of the driver's file system, or of a mount that all executors share.
+    """Tables under one folder that driver and executors share, by whatever file system its path names.
 
     A version lists the folder of each table; readers go by the manifest, so they see a version whole or not at
     all. A version that failed while it was staged is never listed. A manifest of another format is discarded
@@ -31,27 +33,22 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, wait: float = 30.0) -> None:
         self.spark, self.path, self.wait = spark, path, wait
-        os.makedirs(path, exist_ok=True)
+        if "://" not in path:
+            os.makedirs(path, exist_ok=True)
 
     def manifest(self) -> dict:
-        try:
-            with open(f"{self.path}/manifest.json") as f:
-                found = json.load(f)
-        except FileNotFoundError:
-            found = {}
+        text = read_text(self.spark, f"{self.path}/manifest.json")
+        found = json.loads(text) if text else {}
         return found if found.get("format") == FORMAT else {"format": FORMAT, "version": 0, "tables": {}, "done": []}
 
     def _publish(self, manifest: dict) -> None:
-        with open(f"{self.path}/manifest.tmp", "w") as f:
-            json.dump(manifest, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self.path}/manifest.tmp", f"{self.path}/manifest.json")
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
 
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
-        """One writer at a time; waits, then raises Busy."""
-        with open(f"{self.path}/lock", "w") as f:
+        """One writer at a time on this machine; waits, then raises Busy."""
+        local = f"{self.path}/lock" if "://" not in self.path else f"{tempfile.gettempdir()}/weftline-{hashlib.sha256(self.path.encode()).hexdigest()[:16]}.lock"
+        with open(local, "w") as f:
             until = time.monotonic() + self.wait
             while True:
                 try:
@@ -77,7 +74,7 @@ class Store:
                     df.write.mode("overwrite").parquet(f"{self.path}/{staged[name]}")
             except Exception:
                 for place in staged.values():
-                    shutil.rmtree(f"{self.path}/{place}", ignore_errors=True)
+                    delete(self.spark, f"{self.path}/{place}")
                 raise
             done = [*now["done"], batch] if batch is not None else now["done"]
             self._publish({"format": FORMAT, "version": version, "tables": now["tables"] | staged, "done": done})
@@ -116,10 +113,9 @@ class Store:
     def vacuum(self) -> list[str]:
         """Remove folders that no table of the newest version uses."""
         used, gone = set(self.manifest()["tables"].values()), []
-        for name in os.listdir(self.path):
-            if os.path.isdir(f"{self.path}/{name}"):
-                for v in os.listdir(f"{self.path}/{name}"):
-                    if f"{name}/{v}" not in used:
-                        shutil.rmtree(f"{self.path}/{name}/{v}")
-                        gone.append(f"{name}/{v}")
+        for name in folders(self.spark, self.path):
+            for v in folders(self.spark, f"{self.path}/{name}"):
+                if f"{name}/{v}" not in used:
+                    delete(self.spark, f"{self.path}/{name}/{v}")
+                    gone.append(f"{name}/{v}")
         return gone
