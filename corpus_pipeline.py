@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, lines, packing, quality, simhash
+from weftline.llm import decontamination, lines, nearcopies, packing, quality
 from weftline.llm.common import by_ids, id_set, read, saved
 
 
@@ -25,8 +25,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each near-duplicate group; rows without a doc_id stay."""
-    groups = simhash.groups(docs.select("doc_id", "text"))
+    """The document of least doc_id of each group linked by a similarity of 0.8 in 5-word shingles; rows without a doc_id stay."""
+    groups = nearcopies.groups(docs.select("doc_id", "text"))
     return by_ids(docs, id_set(groups.where("doc_id <> component_id").select("doc_id")), "left_anti")
 
 
