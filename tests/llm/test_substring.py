@@ -108,3 +108,16 @@ def test_cuts_fall_alike_wherever_a_passage_is(spark):
     for d in range(1, 12):
         gone = " ".join(rows[d][1][s.start : s.end] for s in out[d].removed).split()
         assert len(gone) > 60 and all(w[0] == "p" for w in gone)
+
+
+def test_any_blank_counts_towards_a_cut(spark):
+    rng = random.Random(13)
+    words = lambda c, n: [f"{c}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words("p", 120)
+    for blank in ("\t", "\u00a0", "\u3000"):
+        rows = [(d, blank.join([*words("o", 7 + d), *passage, *words("o", 9)])) for d in range(4)]
+        out = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out[0].n_removed == 0
+        for d in range(1, 4):
+            gone = " ".join(rows[d][1][s.start : s.end] for s in out[d].removed).split()
+            assert len(gone) > 60 and all(w[0] == "p" for w in gone)

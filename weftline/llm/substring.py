@@ -16,25 +16,27 @@ from .common import saved, small_batches, texts, wide_batches
 
 #: Words that a run of sentences has at least.
 MIN_WORDS = 25
-#: Spaces that a sentence has before it is cut, and how rare the words are after which it is.
+#: Blanks that a sentence has before it is cut, and how rare the words are after which it is.
 LONG, CUT = 16, 8
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*")
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"(\S+)\s*")
+_BLANK, _OTHER = re.compile(r"[^\S\n]"), re.compile(r"[^\S\n ]")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, key) of each sentence: up to its stops or newline, with the blanks after them; key: its words.
 
-    A sentence with LONG spaces or more is cut after words that their own hash chooses, about one in CUT: those
+    A sentence with LONG blanks or more is cut after words that their own hash chooses, about one in CUT: those
     cuts fall alike in every copy of a passage, wherever it was put in.
     """
     found = []
+    other = _OTHER.search(text)  # blanks are counted one by one only where some aren't spaces
     for m in _SENTENCE.finditer(text):
         start, end = m.span()
         if start == end:
             continue
-        if m.group().count(" ") >= LONG:
+        if (len(_BLANK.findall(m.group())) if other else m.group().count(" ")) >= LONG:
             for w in _RUN.finditer(text, start, end):
                 if crc32(w[1].lower().encode("utf-8", "surrogatepass")) % CUT == 0 and w.end() < end:
                     found.append((start, w.end(), " ".join(_WORD.findall(text[start : w.end()].lower()))))
