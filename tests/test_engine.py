@@ -159,3 +159,13 @@ def test_command_line(spark, engine, repo, tmp_path, capsys):
 
     made, edges = annotate.graph_of(annotate.frame(spark, f"{engine.folder}/annotations.jsonl"), engine.nodes)
     assert [r.notes for r in annotate.inline(made).collect()] == ["main: entry point"] and edges.count() == 1
+
+
+def test_report_groups_files_that_change_together(engine):
+    path = {r.id: r.path for r in engine.nodes.where("kind = 'file'").collect()}
+    linked = {4: set(), 5: set(), 6: set()}
+    for r in engine.edges.where("edge_type IN (4, 5, 6)").collect():
+        if r.from_id in path and r.to_id in path and r.from_id != r.to_id:
+            linked[r.edge_type] |= {path[r.from_id], path[r.to_id]}
+    assert linked[4] - linked[5] - linked[6]
+    assert sum(r["files"] for r in engine.report(100)["communities"]) == len(linked[4] | linked[5] | linked[6])

@@ -116,7 +116,8 @@ def report(nodes: DataFrame, edges: DataFrame, top: int = 10) -> dict:
     files = nodes.where("kind = 'file'").select("id", "path")
     a, b = files.toDF("from_id", "a"), files.toDF("to_id", "b")
     imports = edges.where(F.col("edge_type").isin(5, 6)).join(a, "from_id").join(b, "to_id")
-    links = communities.file_graph(imports.select(F.col("a").alias("from_path"), F.col("b").alias("to_path")), imports.select("a", "b").limit(0))
+    together = edges.where("edge_type = 4").join(a, "from_id").join(b, "to_id").select("a", "b")
+    links = communities.file_graph(imports.select(F.col("a").alias("from_path"), F.col("b").alias("to_path")), together)
     member = communities.communities(links).persist()
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
