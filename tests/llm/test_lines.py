@@ -26,7 +26,7 @@ def plain(rows):
 
 
 def got(df):
-    rows = lines.dedup_lines(df).selectExpr("doc_id", "__n_lines", "__n_dropped", "sha2(text, 256)").collect()
+    rows = lines.dedup_lines(df, counts=("lines", "dropped")).selectExpr("doc_id", "lines", "dropped", "sha2(text, 256)").collect()
     return sorted(map(tuple, rows), key=str)
 
 
@@ -49,8 +49,44 @@ def test_edge_cases(spark):
 
 def test_bitmaps_and_other_columns_stay(spark):
     df = frame(spark, edge_rows())
+    assert lines.dedup_lines(df).schema.names == df.columns
+    dropped = {d: n for d, _, n, _ in plain([(r[0], r[1]) for r in edge_rows()])}
+    maps = lines.keep_bitmaps(df).collect()
+    assert maps and {r.doc_id for r in maps} == {d for d, n in dropped.items() if n}
+    for r in maps:
+        bits = zlib.decompress(r.keep)
+        assert 8 * len(bits) - sum(b.bit_count() for b in bits) == dropped[r.doc_id]
+
+
+def test_rows_of_one_doc_id_lose_their_own_lines(spark):
+    rng = random.Random(7)
+    pool = [f"{i} a line that many of the rows share, longer than forty code points {i}" for i in range(6)]
+    rows = []
+    for d in range(60):
+        for _ in range(1 + d % 3):
+            own = [f"own line {rng.randrange(10**9)} of this row, unique in the corpus, long enough to have a key" for _ in range(rng.randrange(5))]
+            ls = own + rng.sample(pool, rng.randrange(4))
+            rng.shuffle(ls)
+            rows.append((d if d % 7 else None, "\n".join(ls)))
+    rows += [rows[-1], rows[-1]]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == plain(rows)
+
+
+def test_columns_with_any_name_stay(spark):
+    df = frame(spark, edge_rows()).selectExpr("text", "doc_id", "h AS `keep`", "lang AS `c0`", "source AS `own_id`", "score AS `__gone`", "n_chars AS `__n_lines`", "h AS `a.b`")
     out = lines.dedup_lines(df)
-    assert out.columns == [*df.columns, "__n_lines", "__n_dropped", "__keep"]
-    for r in out.collect():
-        bits = zlib.decompress(r["__keep"])
-        assert sum(bin(b).count("1") for b in bits) == r["__n_lines"] - r["__n_dropped"]
+    assert out.columns == df.columns and out.count() == df.count()
+    want = sorted(map(str, df.select("doc_id", "`keep`", "c0", "own_id", "__gone", "__n_lines", "`a.b`").collect()))
+    assert sorted(map(str, out.select("doc_id", "`keep`", "c0", "own_id", "__gone", "__n_lines", "`a.b`").collect())) == want
+
+
+def test_query_gives_what_its_sql_gives(spark, data):
+    import duckdb
+
+    from weftline.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op6_line_dedup"]).fetchall()
+    out = queries.op6_line_dedup(spark, data).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(tuple, out)) == sorted(want)

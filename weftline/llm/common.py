@@ -20,9 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names.
+
+    A session on one machine (local master) may leave it unset and gets a folder of its own; a cluster may not.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -85,8 +90,8 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-#: Ids that are broadcast for a semi or anti join (about 16 MB a million); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that are broadcast for a semi or anti join (about 32 MB a million); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def id_set(ids: DataFrame) -> DataFrame:
@@ -98,3 +103,22 @@ def id_set(ids: DataFrame) -> DataFrame:
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs left_semi or left_anti by doc_id in an id_set. Null doc_ids match nothing."""
     return docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], how)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): row is a hash of the text, which tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def row_set(rows: DataFrame) -> DataFrame:
+    """The distinct (doc_id, row) of keyed rows, saved; marked for broadcast if they are few enough."""
+    own, size = measured(few(rows.select("doc_id", "row").toDF("__id", "__row").distinct()), "rows")
+    return F.broadcast(own) if size["n"] <= BROADCAST_IDS else own
+
+
+def by_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs left_semi or left_anti by doc_id (null is one of the ids) and text in a row_set."""
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(docs["text"].cast("string")) == rows["__row"])
+    return docs.join(rows, same, how)
+

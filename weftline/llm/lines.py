@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, saved, small_batches
+from .common import byte_texts, keyed, saved, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -27,29 +27,29 @@ def _keys(text: bytes, least: int) -> Iterator[tuple[int, bytes]]:
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id, at): a 128-bit hash of each long line's key, with its position."""
+    """(h1, h2, doc_id, row, at): a 128-bit hash of each long line's key, with its row's key and position."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, ids, ats = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+            hashes, owners, ats = [], [], []
+            for i, text in enumerate(byte_texts(b.column(2))):
                 for at, key in _keys(text, min_chars):
                     hashes.append(xxhash.xxh3_128_digest(key))
-                    ids.append(doc_id)
+                    owners.append(i)
                     ats.append(at)
             h = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+            own = pa.array(owners, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(ats, pa.int32())],
-                ["h1", "h2", "doc_id", "at"],
+                [pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(own), b.column(1).take(own), pa.array(ats, pa.int32())],
+                ["h1", "h2", "doc_id", "row", "at"],
             )
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "h1 long, h2 long, doc_id long, at int")
+    return keyed(docs).where("doc_id IS NOT NULL").mapInArrow(each, "h1 long, h2 long, doc_id long, row long, at int")
 
 
 def dropped_lines(hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, at) of the lines to drop: those of a key in min_docs documents, but for its largest doc_id's.
+    """(doc_id, row, at) of the lines to drop: those of a key in min_docs documents, but for its largest doc_id's.
 
     Lines are range-partitioned by (hash, document), so a line that very many documents hold is spread over
     many tasks, and sorted by hash, document downwards and position. Each task streams its runs of one hash:
@@ -59,7 +59,8 @@ def dropped_lines(hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["kind", "h1", "h2", "doc_id", "at", "docs"], (np.int8, np.int64, np.int64, np.int64, np.int32, np.int64)
+        names = ["kind", "h1", "h2", "doc_id", "row", "at", "docs"]
+        kinds = (np.int8, np.int64, np.int64, np.int64, np.int64, np.int32, np.int64)
 
         def out(*columns) -> pa.RecordBatch:
             n = len(columns[3])
@@ -67,9 +68,9 @@ def dropped_lines(hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(full, kinds, strict=True)], names)
 
         run, opening, seen, last, top = None, False, 0, None, 0  # the run that is going on; opening: the task's first
-        wait: list[tuple[np.ndarray, np.ndarray]] = []  # fewer rows than enough documents have, of others than top
+        wait: list[tuple[np.ndarray, ...]] = []  # fewer rows than enough documents have, of others than top
         for b in batches:
-            h1, h2, doc, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            h1, h2, doc, row, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             if not len(h1):
                 continue
             edges = np.concatenate([[0], np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1, [len(h1)]])
@@ -80,67 +81,95 @@ def dropped_lines(hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                 key = (int(h1[s]), int(h2[s]))
                 if key != run:
                     if opening:
-                        yield out(2, *run, np.array([top]), 0, seen)
+                        yield out(2, *run, np.array([top]), 0, 0, seen)
                     opening, run, seen, last, top, wait = run is None, key, 0, None, int(doc[s]), []
-                d, a = doc[s:e], at[s:e]
+                d, r, a = doc[s:e], row[s:e], at[s:e]
                 seen += int((d[1:] != d[:-1]).sum()) + (last is None or int(d[0]) != last)
                 last = int(d[-1])
                 if opening:
-                    yield out(1, *run, d, a, 0)
+                    yield out(1, *run, d, r, a, 0)
                     continue
-                wait.append((d[d != top], a[d != top]))
+                other = d != top
+                wait.append((d[other], r[other], a[other]))
                 if seen >= min_docs:
-                    yield from (out(0, 0, 0, d, a, 0) for d, a in wait if len(d))
+                    yield from (out(0, 0, 0, *w, 0) for w in wait if len(w[0]))
                     wait = []
         if run is not None:
-            yield out(2, *run, np.array([top]), 0, seen)
-            yield from (out(1, *run, d, a, 0) for d, a in wait if len(d))
+            yield out(2, *run, np.array([top]), 0, 0, seen)
+            yield from (out(1, *run, *w, 0) for w in wait if len(w[0]))
 
     ordered = hashed.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "at")
-    found = saved(ordered.mapInArrow(each, "kind byte, h1 long, h2 long, doc_id long, at int, docs long"), "lines")
+    found = saved(ordered.mapInArrow(each, "kind byte, h1 long, h2 long, doc_id long, row long, at int, docs long"), "lines")
     whole = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("doc_id").alias("top"))
     whole = whole.where(F.col("docs") >= min_docs).select("h1", "h2", "top")
     late = found.where("kind = 1").join(F.broadcast(whole), ["h1", "h2"]).where("doc_id <> top")
-    return found.where("kind = 0").select("doc_id", "at").union(late.select("doc_id", "at"))
+    return found.where("kind = 0").select("doc_id", "row", "at").union(late.select("doc_id", "row", "at"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs without the lines that documents share, and their __n_lines, __n_dropped and __keep.
+def _bitmap(drop: np.ndarray) -> bytes:
+    keep = np.ones(int(drop.max()) // 8 * 8 + 8, bool)
+    keep[drop] = False
+    return zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1)
+
+
+def _keep(bitmap: bytes, n: int) -> np.ndarray:
+    """Whether each of n lines stays; lines after the bitmap's end do."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[:n].astype(bool)
+    return np.concatenate([bits, np.ones(n - len(bits), bool)])
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, row, keep) of each row that loses lines; keep is a zlib-compressed bitmap, least bit first.
+
+    It has a bit for each line up to the last that goes, and lines after it stay. row is the XXH64 (seed 42) of
+    the row's text, so rows of one doc_id with other texts have bitmaps of their own.
+    """
+    gone = dropped_lines(saved(hashed_lines(docs, min_chars), "hashes"), min_docs)
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_bitmap(np.array(x.as_py())) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.binary())], ["doc_id", "row", "keep"])
+
+    return gone.mapInArrow(each, "doc_id long, row long, keep binary")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs without the lines that documents share; counts names two more columns: lines before, and dropped ones.
 
     A line is what lies between newlines; its key is stripped of ASCII white space and lower-cased in A-Z. Keys
     of at least min_chars code points in at least min_docs documents go from all documents but the largest
-    doc_id that holds them, which keeps all its lines of that key. __keep is a zlib-compressed bitmap, least bit
-    first, with a bit for each line. A null or empty text is one empty line and comes back empty. Rows of one
-    doc_id count as copies of one document; rows without a doc_id lose nothing and don't count. An empty table
-    gives no rows.
+    doc_id that holds them, which keeps all its lines of that key. A null or empty text is one empty line and
+    comes back empty. Rows of one doc_id are one document to the counts, whatever their texts; each row loses
+    the lines of its own text. Rows without a doc_id lose nothing and don't count. Very long texts are taken
+    whole. Other columns stay, whatever their names. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    lines = saved(hashed_lines(docs, min_chars), "hashes")
-    gone = dropped_lines(lines, min_docs).groupBy("doc_id").agg(F.collect_set("at").alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__doc")
-    # One plan at every size: texts are dealt by document and not sorted.
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["__doc"], "left").drop("__doc")
+    gone = keep_bitmaps(docs, min_chars, min_docs).toDF("own_id", "own_row", "keep")
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    # Both keys together deal rows that share an id, or have none, by their texts. One plan at every size: no text is sorted.
+    same = (F.col(f"c{docs.columns.index('doc_id')}").cast("long") == F.col("own_id")) & (F.xxhash64(F.col(f"c{at}").cast("string")) == F.col("own_row"))
+    joined = plain.join(gone.hint("shuffle_hash"), same, "left").drop("own_id", "own_row")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where = b.schema.get_field_index("text")
-            made = [[], [], [], []]
-            for text, drop in zip(byte_texts(b.column(where)), b.column(b.num_columns - 1), strict=True):
-                drop = drop.as_py()
-                parts = text.split(b"\n") if drop else None
-                n = len(parts) if drop else text.count(b"\n") + 1
-                keep = np.ones(n, bool)
-                if drop:
-                    keep[drop] = False
-                    text = b"\n".join(x for x, k in zip(parts, keep.tolist(), strict=True) if k)
-                bitmap = zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1)
-                for column, x in zip(made, (text, n, len(drop or ()), bitmap), strict=True):
-                    column.append(x)
+            kept, sizes, dropped = [], [], []
+            for text, bitmap in zip(byte_texts(b.column(at)), b.column(b.num_columns - 1), strict=True):
+                n, gone_ = text.count(b"\n") + 1, 0
+                if bitmap.is_valid:
+                    keep = _keep(bitmap.as_py(), n)
+                    gone_ = n - int(keep.sum())
+                    text = b"\n".join(x for x, k in zip(text.split(b"\n"), keep.tolist(), strict=True) if k)
+                kept.append(text)
+                sizes.append(n)
+                dropped.append(gone_)
             columns = b.columns[:-1]
-            columns[where] = pa.array(made[0], pa.binary()).cast(pa.string())
-            more = [pa.array(x, t) for x, t in zip(made[1:], (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *more], [*b.schema.names[:-1], "__n_lines", "__n_dropped", "__keep"])
+            columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
+            more = [pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*b.schema.names[:-1], "n", "gone"])
 
-    more = (("__n_lines", T.LongType()), ("__n_dropped", T.LongType()), ("__keep", T.BinaryType()))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*f) for f in more)])
-    return joined.mapInArrow(each, schema)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    out = joined.mapInArrow(each, T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("gone", T.LongType())]))
+    return out.toDF(*docs.columns, *counts) if counts else out.drop("n", "gone").toDF(*docs.columns)
