@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a local one only where it names none (tests)."""
+    """The folder that the session names in spark.checkpoint.dir.
+
+    A session on one machine (local master) may leave it unset and gets a folder of its own; a cluster may not.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(at)
     return at
