@@ -12,23 +12,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, texts, wide_batches
+from .common import keyed, saved, small_batches, texts, wide_batches
 
 #: Words that a run of sentences has at least.
 MIN_WORDS = 25
-#: Blanks that a sentence has before it is cut, and how rare the words are after which it is.
-LONG, CUT = 16, 8
+#: Blanks that a sentence has before it is cut, and the words of a window, of which one ends a cut at least.
+LONG, WINDOW = 16, 12
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)[^\S\n]*")
 _WORD = re.compile(r"\w+")
 _RUN = re.compile(r"(\S+)\s*")
 _BLANK, _OTHER = re.compile(r"[^\S\n]"), re.compile(r"[^\S\n ]")
 
 
+def winnowed(hashes: list[int], window: int = WINDOW) -> list[int]:
+    """Positions of the least hash of every window, the rightmost of equal ones unless the one before still holds."""
+    out, best = [], -1
+    for i, h in enumerate(hashes):
+        if best <= i - window:  # the least has left the window
+            begin = max(0, i - window + 1)
+            some = hashes[begin : i + 1]
+            best = i - some[::-1].index(min(some))
+        elif h < hashes[best]:
+            best = i
+        if i >= window - 1 and (not out or out[-1] != best):
+            out.append(best)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, key) of each sentence: up to its stops or newline, with the blanks after them; key: its words.
 
-    A sentence with LONG blanks or more is cut after words that their own hash chooses, about one in CUT: those
-    cuts fall alike in every copy of a passage, wherever it was put in.
+    A sentence with LONG blanks or more is cut by winnowing: after the word of least hash of every WINDOW
+    words. Those cuts fall alike in every copy of a passage, wherever it was put in, and are at most WINDOW
+    words apart; a passage of one word over and over is cut every WINDOW words, and its pieces are alike.
     """
     found = []
     other = _OTHER.search(text)  # blanks are counted one by one only where some aren't spaces
@@ -37,10 +53,14 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         if start == end:
             continue
         if (len(_BLANK.findall(m.group())) if other else m.group().count(" ")) >= LONG:
+            marks, hashes = [], []
             for w in _RUN.finditer(text, start, end):
-                if crc32(w[1].lower().encode("utf-8", "surrogatepass")) % CUT == 0 and w.end() < end:
-                    found.append((start, w.end(), " ".join(_WORD.findall(text[start : w.end()].lower()))))
-                    start = w.end()
+                marks.append(w.end())
+                hashes.append(crc32(w[1].lower().encode("utf-8", "surrogatepass")))
+            for k in winnowed(hashes):
+                if marks[k] < end:
+                    found.append((start, marks[k], " ".join(_WORD.findall(text[start : marks[k]].lower()))))
+                    start = marks[k]
         found.append((start, end, " ".join(_WORD.findall(text[start:end].lower()))))
     return found
 
@@ -57,36 +77,46 @@ def runs(counts: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(set(forward + backward))
 
 
+def _digests(text: str, min_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """(hash, first, last) of each run of a text's sentences; a run begins and ends with words, so it has one place."""
+    keys = [k for _, _, k in sentences(text)]
+    worded = [i for i, k in enumerate(keys) if k]
+    for a, b in runs([keys[i].count(" ") + 1 for i in worded], min_words):
+        yield _hash([keys[i] for i in worded[a:b]]), worded[a], worded[b - 1]
+
+
+def _hash(keys: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(keys).encode("utf-8", "surrogatepass"))[:12]
+
+
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, doc_id, first, last, again): a 128-bit hash of each run of sentences, by the sentences' numbers.
+    """(h1, h2, doc_id, row, first, last, again): a 96-bit hash of each run of sentences, by the sentences' numbers.
 
-    again: the document has the same run before, so this one goes whatever other documents hold.
+    again: the row has the same run before, so this one goes whatever other documents hold.
     """
     small_batches(docs.sparkSession)
+    names = ["h1", "h2", "doc_id", "row", "first", "last", "again"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, ids, firsts, lasts, agains = [], [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                keys = [k for _, _, k in sentences(text)]
-                worded = [i for i, k in enumerate(keys) if k]  # a run begins and ends with words, so it has one place
+            digests, owners, firsts, lasts, agains = [], [], [], [], []
+            for i, text in enumerate(texts(b.column(2))):
                 seen: set[bytes] = set()
-                for a, b_ in runs([keys[i].count(" ") + 1 for i in worded], min_words):
-                    digest = xxhash.xxh3_128_digest(" ".join([keys[i] for i in worded[a:b_]]).encode("utf-8", "surrogatepass"))
+                for digest, first, last in _digests(text, min_words):
                     agains.append(digest in seen)
                     seen.add(digest)
                     digests.append(digest)
-                    ids.append(doc_id)
-                    firsts.append(worded[a])
-                    lasts.append(worded[b_ - 1])
-            h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(agains, pa.bool_())],
-                ["h1", "h2", "doc_id", "first", "last", "again"],
-            )
+                    owners.append(i)
+                    firsts.append(first)
+                    lasts.append(last)
+            h = np.frombuffer(b"".join(digests), np.dtype([("h1", ">i8"), ("h2", ">i4")]))
+            own = pa.array(owners, pa.int64())
+            columns = [pa.array(h["h1"].astype(np.int64)), pa.array(h["h2"].astype(np.int32)), b.column(0).take(own), b.column(1).take(own)]
+            columns += [pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(agains, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "h1 long, h2 long, doc_id long, first int, last int, again boolean")
+    rows = keyed(docs).where("doc_id IS NOT NULL")
+    return rows.mapInArrow(each, "h1 long, h2 int, doc_id long, row long, first int, last int, again boolean")
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +125,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The task's first hash may have begun in another task: its rows wait (kind 1). Its least document, and the
     least of the last hash, which may go on in another task, are told (kind 2).
     """
-    names, kinds = ["kind", "h1", "h2", "doc_id", "first", "last"], (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32)
+    names, kinds = ["kind", "h1", "h2", "doc_id", "first", "last"], (np.int8, np.int64, np.int32, np.int64, np.int32, np.int32)
 
     def out(*columns) -> pa.RecordBatch:
         n = len(columns[3])
@@ -115,7 +145,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait = (h1 == opening[0]) & (h2 == opening[1])
         gone = (doc > homes) & ~wait
         if gone.any():
-            yield out(0, 0, 0, doc[gone], first[gone], last[gone])
+            yield out(0, h1[gone], h2[gone], doc[gone], first[gone], last[gone])
         if wait.any():
             yield out(1, h1[wait], h2[wait], doc[wait], first[wait], last[wait])
         run, home = (int(h1[-1]), int(h2[-1])), int(homes[-1])
@@ -126,50 +156,65 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, gone array<struct<first, last>>): sentence runs whose words occur earlier, by (doc_id, place).
+    """(doc_id, gone array<struct<first, last, mark, own>>): sentence runs whose words occur earlier, by (doc_id, place).
 
     Every sentence begins a run, the shortest of at least min_words words, and ends one; so each sentence of a
     repeated passage that has so many words in whole sentences is covered. Runs are joined globally by one
     shuffle: range-partitioned by (hash, document), so a run that very many documents hold is spread over many
     tasks, and streamed in that order. What a task can't tell alone, of its first hash, is settled by at most two
     rows a task, which are broadcast. Of the overlapping runs of a document, the union goes.
+
+    A run is of that row of its doc_id alone whose text it came from: mark is the row's key where the row
+    itself has the run before (own), and else the run's hash, which the row's own words must give again.
     """
     every = saved(spans(docs, min_words), "spans")
     fresh = every.where("NOT again").select("h1", "h2", "doc_id", "first", "last")
     ordered = fresh.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     with wide_batches(docs.sparkSession):
-        found = saved(ordered.mapInArrow(_later, "kind byte, h1 long, h2 long, doc_id long, first int, last int"), "repeats")
+        found = saved(ordered.mapInArrow(_later, "kind byte, h1 long, h2 int, doc_id long, first int, last int"), "repeats")
     home = F.broadcast(found.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc_id").alias("home")))
     late = found.where("kind = 1").join(home, ["h1", "h2"]).where("doc_id > home")
-    gone = found.where("kind = 0").select("doc_id", "first", "last").union(late.select("doc_id", "first", "last"))
-    gone = gone.union(every.where("again").select("doc_id", "first", "last"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("gone"))
+    run = ["doc_id", "first", "last", F.col("h1").alias("mark"), F.lit(False).alias("own")]
+    gone = found.where("kind = 0").select(*run).union(late.select(*run))
+    gone = gone.union(every.where("again").select("doc_id", "first", "last", F.col("row").alias("mark"), F.lit(True).alias("own")))
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "mark", "own"))).alias("gone"))
+
+
+def _gone(keys: list[str], row: int, runs_: list[dict]) -> np.ndarray:
+    """Which of a row's sentences go: those of the runs that are its own, or whose hash its words give."""
+    drop = np.zeros(len(keys) + 1, np.int32)
+    for r in runs_:
+        first, last = r["first"], r["last"]
+        if r["own"]:
+            mine = r["mark"] == row
+        else:
+            mine = last < len(keys) and int.from_bytes(_hash([k for k in keys[first : last + 1] if k])[:8], "big", signed=True) == r["mark"]
+        if mine:
+            drop[first] += 1
+            drop[last + 1] -= 1
+    return np.cumsum(drop[:-1]) > 0
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_removed, removed, kept): how many sentences go, their code point spans, and the text that stays.
 
-    A null or empty text has no sentences and comes back empty. Rows of one doc_id count as one document, a row
-    that repeats another whole loses nothing to it; rows without a doc_id are kept whole. The same holds for
-    texts of fewer words than a run has. An empty table gives no rows.
+    A null or empty text has no sentences and comes back empty. Rows of one doc_id are one document, whatever
+    their texts: what one of them repeats of another stays, and each loses the runs of its own text. Rows
+    without a doc_id are kept whole, as are texts of fewer words than a run has. Very long texts are cut and
+    compared whole. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = repeats(docs, min_words)
+    gone = repeats(docs, min_words).withColumn("deal", F.lit(0).cast("long"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made: list[list] = [[], [], []]
-            for text, runs_ in zip(texts(b.column(1)), b.column(2), strict=True):
+            for row, text, runs_ in zip(b.column(1).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
                 removed: list[dict] = []
                 kept, n = text, 0
                 if runs_.is_valid:
                     parts = sentences(text)
-                    drop = np.zeros(len(parts) + 1, np.int32)
-                    for r in runs_.as_py():
-                        drop[r["first"]] += 1
-                        drop[r["last"] + 1] -= 1
-                    out = (np.cumsum(drop[:-1]) > 0).tolist()
+                    out = _gone([k for _, _, k in parts], row, runs_.as_py()).tolist()
                     n = sum(out)
                     for (start, end, _), x in zip(parts, out, strict=True):
                         if x and removed and removed[-1]["end"] == start:
@@ -182,5 +227,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], ["doc_id", "n_removed", "removed", "kept"])
 
-    joined = rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone")  # texts aren't sorted
+    # Rows without a doc_id meet nothing; they are dealt by their texts. Texts aren't sorted.
+    rows = keyed(docs).withColumn("deal", F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(0).cast("long")))
+    joined = rows.join(gone.hint("shuffle_hash"), ["doc_id", "deal"], "left").select("doc_id", "row", "text", "gone")
     return joined.mapInArrow(each, "doc_id long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
