@@ -7,6 +7,8 @@ import pytest
 
 from weftline.llm import quality
 
+from pyspark.sql import functions as F
+
 from .corpora import edge_rows, empty, frame
 
 ORDER = quality.ORDER
@@ -59,14 +61,18 @@ def corpus(n=60, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("shard", [4_000_000, 300])
+@pytest.mark.parametrize("shard", [1_000_000, 100])
 def test_likelihoods_match_the_definition(spark, monkeypatch, shard):
     monkeypatch.setattr(quality, "SHARD_TYPES", shard)
+    monkeypatch.setattr(quality, "SCORED", 1 << 20 if shard > 100 else 2000)
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").orderBy(F.rand()).repartition(5)  # in no fixed order
     trusted = docs.where("doc_id < 40")
     models = {(lang, f): plain_model([t.encode() for d, t, x in rows if d < 40 and x == lang and quality.fold_of(d) == f]) for lang in ("en", "fr") for f in (0, 1)}
-    for r in quality.scores(docs, trusted).collect():
+    found = quality.scores(docs, trusted).collect()
+    assert sorted(r.doc_id for r in found) == [r[0] for r in rows]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weftline_chunks")]
+    for r in found:
         text = quality._PAD + rows[r.doc_id][1].encode().translate(quality._PLAIN)
         prob = models[r.lang, 1 - quality.fold_of(r.doc_id)]
         want = -sum(math.log(prob(text[i - ORDER + 1 : i + 1])) for i in range(ORDER - 1, len(text)))
@@ -85,6 +91,35 @@ def test_probabilities_sum_to_one():
         assert np.exp(model.score((int(context) << 8) + np.arange(256))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_quantile_and_keep_match_brute_force(spark):
+    rows = corpus(150, 4) + [(None, "%%$# 00 @@" * 30, "en"), (7, "another text of document seven", "en"), (3, corpus(150, 4)[3][1], "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    good = {d for d in range(0, 150, 2)}
+    labels = spark.createDataFrame([(d, int(d in good)) for d in range(150)], "doc_id long, quality int")
+    trusted = [(d, t, x) for d, t, x in rows if d in good]
+    models = {(x, f): plain_model([t.encode() for d, t, y in trusted if y == x and quality.fold_of(d) == f]) for x in ("en", "fr") for f in (0, 1)}
+    nll = []
+    for d, t, x in rows:
+        text, prob = quality._PAD + t.encode().translate(quality._PLAIN), models[x, 1 - quality.fold_of(d)]
+        nll.append(-sum(math.log(prob(text[i - ORDER + 1 : i + 1])) for i in range(ORDER - 1, len(text))))
+    size = [len(t.encode()) for _, t, _ in rows]
+    for quantile in (0.5, 0.9):
+        want = []
+        for lang in ("en", "fr"):
+            sure = [i for i, r in enumerate(rows) if r[2] == lang and r[0] in good]
+            mean = sum(nll[i] for i in sure) / sum(size[i] for i in sure)
+            level = [(nll[i] + quality.PRIOR_BYTES * mean) / (size[i] + quality.PRIOR_BYTES) for i in range(len(rows))]
+            bins = sorted(math.ceil(level[i] / quality.STEP) for i in sure)
+            limit = bins[math.ceil(len(bins) * quantile - 1e-9) - 1] * quality.STEP
+            want += [(r[0], round(math.exp(level[i]), 3), round(math.exp(limit), 3), level[i] <= limit) for i, r in enumerate(rows) if r[2] == lang]
+        out = quality.classify(docs, labels, quantile).collect()
+        got = [(r.doc_id, round(r.perplexity, 3), round(r.threshold, 3), r.keep) for r in out]
+        close = lambda a, b: a[0] == b[0] and abs(a[1] - b[1]) < 0.003 and abs(a[2] - b[2]) < 0.003 and a[3] == b[3]
+        assert all(close(a, b) for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True))
+        stay = {(r.doc_id, r.text) for r in quality.kept(docs, labels, quantile).collect()}
+        assert {d for d, *_, k in want if k} == {d for d, _ in stay}
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rows = corpus(300, 2)
     rng = random.Random(3)

@@ -47,21 +47,22 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     words apart; a passage of one word over and over is cut every WINDOW words, and its pieces are alike.
     """
     found = []
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is two characters stays, so that places agree
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     other = _OTHER.search(text)  # blanks are counted one by one only where some aren't spaces
     for m in _SENTENCE.finditer(text):
         start, end = m.span()
         if start == end:
             continue
         if (len(_BLANK.findall(m.group())) if other else m.group().count(" ")) >= LONG:
-            marks, hashes = [], []
-            for w in _RUN.finditer(text, start, end):
-                marks.append(w.end())
-                hashes.append(crc32(w[1].lower().encode("utf-8", "surrogatepass")))
-            for k in winnowed(hashes):
-                if marks[k] < end:
-                    found.append((start, marks[k], " ".join(_WORD.findall(text[start : marks[k]].lower()))))
-                    start = marks[k]
-        found.append((start, end, " ".join(_WORD.findall(text[start:end].lower()))))
+            runs_ = list(_RUN.finditer(low, start, end))
+            for k in winnowed([crc32(w[1].encode("utf-8", "surrogatepass")) for w in runs_]):
+                mark = runs_[k].end()
+                if mark < end:
+                    found.append((start, mark, " ".join(_WORD.findall(low, start, mark))))
+                    start = mark
+        found.append((start, end, " ".join(_WORD.findall(low, start, end))))
     return found
 
 
