@@ -331,7 +331,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         with _wide_rows(spark):
             chunks = spark.table(name)
             asked = chunks.agg(F.coalesce(F.sum("n_types"), F.lit(0))).first()[0]
-            shards = min(65536, max(math.ceil(size["n"] / SHARD_TYPES), math.ceil(asked / SHARD_LOOKUPS), spark.sparkContext.defaultParallelism))
+            shards = min(65536, max(math.ceil(size["n"] / SHARD_TYPES), math.ceil(asked / SHARD_LOOKUPS), 4 * spark.sparkContext.defaultParallelism))
 
             def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 import zstandard

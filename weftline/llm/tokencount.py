@@ -13,8 +13,8 @@ from .common import small_batches, texts
 
 #: A piece that no vocabulary entry covers scores this much below the least entry.
 UNKNOWN_PENALTY = 10.0
-#: Distinct units whose counts a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of units whose counts a worker remembers (each with what a dictionary's entry takes), and characters of such a unit.
+REMEMBERED, ENTRY, LONGEST_UNIT = 64 << 20, 150, 200
 _MARK = "▁"
 
 
@@ -51,6 +51,8 @@ class Counter(dict):
             if piece and not self.automaton.exists(piece):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in left), default=1)
+        self.held = 0
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
         self.cut_marks = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p, _ in left)
@@ -58,34 +60,45 @@ class Counter(dict):
         self._units = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n+" if self.cut_lines else f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 
     def viterbi(self, text: str) -> int:
-        n = len(text)
-        if not n:
+        """Pieces of the best segmentation; holds as many places as the longest entry has characters."""
+        if not text:
             return 0
-        starts: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # (length, score) of entries by their start
-        for end, (length, score) in self.automaton.iter(text):
-            starts[end - length + 1].append((length, score))
-        best: list[float | None] = [None] * (n + 1)
-        count, unknown = [0] * (n + 1), [False] * (n + 1)  # unknown: the last piece is one
-        best[0] = 0.0
-        for at in range(n):
-            here = best[at]
-            single = False
-            for length, score in sorted(starts[at]):
-                end, total = at + length, here + score
-                if best[end] is None or total > best[end]:
-                    best[end], count[end], unknown[end] = total, count[at] + 1, False
+        ring = min(self.longest, len(text)) + 1
+        best, count, unknown = [0.0] * ring, [0] * ring, [False] * ring  # by place, modulo ring; unknown: the last piece is one
+        found = self.automaton.iter(text)
+        last, match = next(found, (len(text), None))
+        for at in range(len(text)):
+            here = []
+            while last == at:
+                here.append(match)
+                last, match = next(found, (len(text), None))
+            if len(here) > 1:
+                here.sort(reverse=True)
+            total, pieces, odd, single = None, 0, False, False
+            for length, score in here:  # longest, that is of the earliest start, first
+                begin = (at + 1 - length) % ring
+                own = best[begin] + score
+                if total is None or own > total:
+                    total, pieces = own, count[begin] + 1
                 single = single or length == 1
             if not single:
-                total = here + self.unknown
-                if best[at + 1] is None or total > best[at + 1]:
-                    more = len(text[at].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unknown[at])
-                    best[at + 1], count[at + 1], unknown[at + 1] = total, count[at] + more, True
-        return count[n]
+                begin = at % ring
+                own = best[begin] + self.unknown
+                if total is None or own > total:
+                    more = len(text[at].encode("utf-8", "surrogatepass")) if self.byte_fallback else int(not unknown[begin])
+                    total, pieces, odd = own, count[begin] + more, True
+            end = (at + 1) % ring
+            best[end], count[end], unknown[end] = total, pieces, odd
+        return count[len(text) % ring]
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        count = self[unit] = self.viterbi(unit)
+        count = self.viterbi(unit)
+        if len(unit) <= LONGEST_UNIT:
+            self.held += 4 * len(unit) + ENTRY
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[unit] = count
         return count
 
     def count(self, text: str) -> int:
@@ -96,7 +109,7 @@ class Counter(dict):
         if not self.cut_marks:
             return self.viterbi(text)
         if self.byte_fallback or not self.cut_lines:
-            return sum(map(self.__getitem__, self._units.findall(text)))
+            return sum(self[m.group()] for m in self._units.finditer(text)) if len(text) > 1 << 20 else sum(map(self.__getitem__, self._units.findall(text)))
         return self.viterbi(text)  # runs of unknown pieces could join over a cut
 
 
@@ -104,7 +117,9 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], skipped: list
     """(doc_id, n_tokens) of every document, by a vocabulary of (piece, score), which is broadcast (about 1 MB).
 
     Null and empty texts have 0; rows that repeat are counted each; an empty table gives no rows. Texts are
-    neither normalised nor cut short.
+    neither normalised nor cut short; a very long one takes a few bytes a character and no more, even where no
+    blank cuts it. With pieces and scores of a BPE model the counts are those of a unigram model over them,
+    and no known tokenizer's.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((pieces, skipped))

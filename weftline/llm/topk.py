@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
-#: Bytes of query vectors that are broadcast at once (more queries take more passes), and of a dense score array.
-QUERY_BYTES, SCORE_BYTES = 32 << 20, 32 << 20
+#: Bytes of the candidates of a block, and of a dense score array.
+BLOCK_BYTES, SCORE_BYTES = 64 << 20, 16 << 20
 SCALE = 1024
 
 
@@ -63,7 +63,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 _NONE = np.iinfo(np.int64).min + 1  # its negation is a number too
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of highest integer inner product.
 
     rows and queries are (vec_id, v array<long>). All rows are candidates but those of the query's own vec_id.
@@ -71,54 +71,50 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, query_bytes: int = QU
     candidates that repeat one count each time. Components that a shorter vector lacks are zero; scores are
     64-bit sums. Empty tables give no rows.
 
-    The queries are hashed into blocks of a bounded size and broadcast one block a pass; each pass reads the
-    candidates where they lie. A task keeps k candidates a query, and only those are shuffled to be merged.
+    Candidates are dealt to blocks of a bounded size, rows of one vec_id too, and the queries to every block,
+    sorted after its candidates. A task holds a block's postings and streams the queries past them, so neither
+    queries nor candidates pass through the driver; k rows a query and block are shuffled to be merged.
     """
     spark = rows.sparkSession
-    queries = queries.dropDuplicates(["vec_id", "v"])
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    if not size["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(1, size["width"])
-    blocks = math.ceil(size["n"] * width * 8 / query_bytes)
-    found = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
-        if not own.num_rows:
-            continue
-        held = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), _matrix(own.column("v").combine_chunks(), width)))
-
-        def each(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            query_ids, q = held.value
-            step = max(64, SCORE_BYTES // (8 * len(q)))
-            best_ids, best = np.full((len(q), k), _NONE), np.full((len(q), k), _NONE)
-
-            def take(parts: list[pa.RecordBatch]) -> None:
-                nonlocal best_ids, best
-                ids = np.concatenate([p.column(0).to_numpy() for p in parts])
-                block = np.concatenate([_matrix(p.column(1), q.shape[1])[:, : q.shape[1]] for p in parts])
-                for lo in range(0, len(ids), step):
-                    some = ids[lo : lo + step]
-                    scores = scatter(q, block[lo : lo + step])
-                    scores[query_ids[:, None] == some] = _NONE
-                    tops = _best(np.broadcast_to(some, scores.shape), scores, k)
-                    best_ids, best = _best(np.concatenate([best_ids, tops[0]], 1), np.concatenate([best, tops[1]], 1), k)
-
-            parts: list[pa.RecordBatch] = []
-            for b in batches:
-                parts.append(b)
-                if sum(p.num_rows for p in parts) >= step:
-                    take(parts)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    width = max(1, size["width"] or 0)
+    blocks = max(spark.sparkContext.defaultParallelism, math.ceil(size["n"] * width * 8 / block_bytes))
+    block = F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(blocks))
+    held = rows.select(block.cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
+    asked = queries.dropDuplicates(["vec_id", "v"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = held.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, ids, postings = None, [], None, None
+        for b in batches:
+            own, kind, vec = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(own)]])
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if s == e:
+                    continue
+                if own[s] != at:
+                    at, parts, ids = int(own[s]), [], None
+                values = _matrix(b.column(3).slice(s, e - s), width)[:, :width]
+                if kind[s] == 0:
+                    parts.append((vec[s:e], values))
+                    continue
+                if ids is None:
+                    ids = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+                    postings = np.concatenate([np.zeros((0, width), np.int64), *(p[1] for p in parts)])
                     parts = []
-            if parts:
-                take(parts)
-            real = best != _NONE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.broadcast_to(query_ids[:, None], best.shape)[real]), pa.array(best_ids[real]), pa.array(best[real])], ["query_id", "vec_id", "score"]
-            )
-
-        part = rows.select("vec_id", "v").mapInArrow(each, "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+                if not len(ids):
+                    continue
+                step = max(1, SCORE_BYTES // (8 * len(ids)))
+                for lo in range(0, e - s, step):
+                    asking = vec[s + lo : min(s + lo + step, e)]
+                    scores = scatter(values[lo : lo + step], postings)
+                    scores[asking[:, None] == ids] = _NONE
+                    best_ids, best = _best(np.broadcast_to(ids, scores.shape), scores, k)
+                    real = best != _NONE
+                    columns = [np.broadcast_to(asking[:, None], best.shape)[real], best_ids[real], best[real]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(each, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
