@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import few, saved, small_batches, texts
 
-#: Labelled rows that are fitted (those of the least hashes of their ids), and words that may have a weight.
-MAX_ROWS, MAX_WORDS = 20_000, 4_000
+#: Labelled rows that are fitted (those of the least hashes of their ids).
+MAX_ROWS = 20_000
 #: Documents in which a word must be, of the fitted ones, and the least chi-square of its presence and the label.
 MIN_DOCS, MIN_CHI = 3, 10.83
 #: Letters of a longer word's stem, which is a feature too.
@@ -42,24 +42,39 @@ def _words(text: str) -> set[str]:
     return own | {"^" + w[:STEM] for w in own if len(w) > STEM}
 
 
-def _swap_pairs(words: list[set[int]], identity: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, out, in): for each identity term of a labelled row, each other one that it may be swapped for."""
-    found = [(i, a, b) for i, own in enumerate(words) for a in identity if a in own for b in identity if b != a and b not in own]
-    return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+def _swaps(own: set[str], index: dict[str, int], identity: list[str]) -> list[list[int]]:
+    """A row's counterfactuals: for each identity term in it and each other one, the features that change.
 
-
-def fit(rows: list[set[int]], y: np.ndarray, n_words: int, identity: list[int], ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
+    The whole feature set of the swapped text counts: a term's stem goes with it, unless another word of the
+    row has it too, and the new term brings its own. Features are numbered from 1; those that go are negative.
+    """
+    made = []
+    words = {w for w in own if w[0] != "^"}
+    for out in identity:
+        if out not in words:
+            continue
+        rest = words - {out}
+        kept = rest | {"^" + w[:STEM] for w in rest if len(w) > STEM}
+        for term in identity:
+            if term not in own:
+                other = kept | _words(term)
+                made.append([index[f] + 1 for f in sorted(other - own) if f in index] + [-index[f] - 1 for f in sorted(own - other) if f in index])
+    return made
+
+
+def fit(rows: list[set[int]], y: np.ndarray, n_words: int, swaps: list[list[int]], ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model of the presence of words and stems.
 
     The loss is the mean log loss, in which both labels weigh the same, ridge times the squared weights, and
-    swap times the mean squared change of a row's score when one of its identity terms is swapped for another
-    (its counterfactuals). Gradient steps with per-weight scaling (Adam) from zero, so the result is a function
+    swap times the mean squared change of a row's score in its counterfactuals (swaps: signed features, from 1). Gradient steps with per-weight scaling (Adam) from zero, so the result is a function
     of the rows and their order alone.
     """
     sizes = np.array([len(r) for r in rows], np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
     at = np.array([w for r in rows for w in sorted(r)], np.int64)
-    row, out, into = _swap_pairs(rows, identity)
+    pair = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps]) if swaps else np.zeros(0, np.int64)
+    signed = np.array([f for x in swaps for f in x], np.int64)
+    feature, sign = np.abs(signed) - 1, np.sign(signed).astype(float)
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     w, bias = np.zeros(n_words), float(np.log(rate / (1 - rate)))
     share = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) / max(len(rows), 1)
@@ -69,9 +84,9 @@ def fit(rows: list[set[int]], y: np.ndarray, n_words: int, identity: list[int],
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         error = (p - y) * share
         grad = np.bincount(at, error[of], n_words) + 2 * ridge * w
-        if len(row):
-            slope = 2 * swap * (w[into] - w[out]) / len(row)
-            grad += np.bincount(into, slope, n_words) - np.bincount(out, slope, n_words)
+        if len(signed):
+            change = np.bincount(pair, w[feature] * sign, len(swaps))
+            grad += np.bincount(feature, 2 * swap / len(swaps) * change[pair] * sign, n_words)
         g = np.append(grad, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -79,12 +94,13 @@ def fit(rows: list[set[int]], y: np.ndarray, n_words: int, identity: list[int],
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, identity: list[str] | None = None, swap: float = SWAP) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity: list[str] | None = None, swap: float = SWAP) -> tuple[dict[str, float], float]:
     """(weights by word, bias), learnt from labelled rows outside the held-out fold.
 
-    At most max_rows labelled documents are fitted, those whose ids hash least; their texts are taken whole.
-    Words are chosen from them by a chi-square of presence and label, at most max_words, besides the identity
-    terms. Both bounds hold at any size, and so do the driver's and the workers' memory.
+    At most max_rows labelled documents are fitted, those whose ids hash least; their texts are taken whole. Of
+    an id's rows with other texts, the one whose text hashes least is fitted, so weights are a function of the
+    tables. Every word and stem in MIN_DOCS of them whose presence goes with the label (chi-square of MIN_CHI or
+    more) has a weight, and so have the identity terms and their stems.
     """
     identity = IDENTITY if identity is None else identity
     small_batches(docs.sparkSession)
@@ -97,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(_words(t)) for t in texts(b.column(2))], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    labelled = rows.join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    labelled = rows.join(F.broadcast(own), "doc_id")  # at most max_rows ids
+    labelled = labelled.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "toxic", "x.text")
     bags = saved(few(labelled).mapInArrow(split, "doc_id long, toxic int, words array<string>"), "bags")
     size = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = size["n"], size["pos"]
@@ -107,18 +124,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     share = F.lit(pos / n)
     chi = F.pow(F.col("pos") - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) * (1 - F.col("n") / F.lit(n)) + 1e-9)
     seen = seen.where(chi >= MIN_CHI)
-    chosen = [r["word"] for r in seen.orderBy(F.desc(chi), "word").limit(max_words).collect()]  # max_words rows
-    chosen = list(dict.fromkeys(chosen + list(identity)))
+    chosen = [r["word"] for r in seen.select("word").collect()]  # words of at most max_rows documents, each in several
+    chosen = sorted({*chosen, *(f for t in identity for f in _words(t))})
     index = {w: i for i, w in enumerate(chosen)}
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [[held.value[w] for w in ws if w in held.value] for ws in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32()))], ["doc_id", "toxic", "words"])
-
-    coded = bags.mapInArrow(code, "doc_id long, toxic int, words array<int>").orderBy("doc_id").toArrow()  # at most max_rows rows
-    w, bias = fit([set(x) for x in coded.column("words").to_pylist()], coded.column("toxic").to_numpy().astype(float), len(chosen), [index[t] for t in identity], swap=swap)
+            words = b.column(2).to_pylist()
+            own = [[held.value[w] for w in ws if w in held.value] for ws in words]
+            swaps = [_swaps(set(ws), held.value, list(identity)) if swap else [] for ws in words]
+            columns = [b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words", "swaps"])
+
+    coded = bags.mapInArrow(code, "doc_id long, toxic int, words array<int>, swaps array<array<int>>").orderBy("doc_id").toArrow()  # at most max_rows rows
+    swaps = [x for xs in coded.column("swaps").to_pylist() for x in xs]
+    w, bias = fit([set(x) for x in coded.column("words").to_pylist()], coded.column("toxic").to_numpy().astype(float), len(chosen), swaps, swap=swap)
     return {c: float(x) for c, x in zip(chosen, w, strict=True) if abs(x) > 1e-9}, bias
 
 
@@ -143,7 +164,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     score is 0 to 1, higher where label 1 is likelier. Null and empty texts have the bias's score. Labels that
     are null or not 0 or 1 are ignored; a document labelled twice is toxic if either label says so. Without
     labelled rows every score is the same and low. held_out is null for a null doc_id. Rows that repeat are
-    scored each; an empty table gives no rows.
+    scored each, and rows of one doc_id by their own texts; very long texts are taken whole. An empty table
+    gives no rows.
     """
     weights, bias = train(docs, labels, **options)
     out = score(docs, weights, bias)
