@@ -81,16 +81,17 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+iw AS (SELECT item_id, item, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM iw),
-s AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM iw),
-n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id),
-ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, ks),
-f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN s USING (k, g) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment
-FROM f JOIN n USING (item_id) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)""",
+s AS (SELECT DISTINCT item_id, item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM iw),
+n AS (SELECT item, count(*) AS n_shingles FROM s GROUP BY item),
+ds AS (SELECT DISTINCT doc_id, r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, ks),
+f AS (SELECT doc_id, item_id, r, item, count(*) AS n_found FROM ds JOIN s USING (k, g) GROUP BY doc_id, item_id, r, item),
+b AS (SELECT doc_id, item_id, n_shingles, n_found, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found / n_shingles DESC, n_shingles DESC) AS o
+FROM f JOIN n USING (item) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9))
+SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment FROM b WHERE o = 1""",
     "op2_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
