@@ -78,3 +78,28 @@ def test_pipeline_drops_edited_copies(spark):
     rows = [(0, " ".join(base), "a"), *((d, edited(rng, base, 3), "b") for d in range(1, 11)), (20, words(rng, 200), "c")]
     out = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert out.columns == ["doc_id", "text", "source"] and sorted(r.doc_id for r in out.collect()) == [0, 20]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity just over 0.8, most of them far beyond four bits of SimHash."""
+    rng = random.Random(6)
+    rows = []
+    while len(rows) < 200:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 400]))]
+        copy = edited(rng, base, max(1, len(base) // 60))
+        x, y = sets(" ".join(base)), sets(copy)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, copy)]
+    out = dict(got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert sum(out[d] == d - 1 for d in range(1, 200, 2)) >= 99
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(7)
+    base, other = words(rng, 120).split(), words(rng, 120)
+    rows = [(1, " ".join(base), "a"), (1, other, "b"), (2, edited(rng, base, 2), "c"), (None, edited(rng, base, 2), "d"), (None, words(rng, 90), "e"),
+            (3, None, "f"), (4, "", "g"), (5, "x y", "h"), (5, "x y", "h"), (5, "x y", "i"), (None, "q r s", "j"), (None, "q r s", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `row` string")
+    out = sorted(((r.doc_id, r.text) for r in nearcopies.kept(df).collect()), key=str)
+    assert out == sorted([(1, rows[0][1]), (1, other), (None, rows[4][1]), (3, None), (5, "x y"), (None, "q r s")], key=str)
+    assert nearcopies.kept(empty(spark)).count() == 0 and nearcopies.kept(df).columns == df.columns

@@ -9,7 +9,7 @@ from weftline.llm import quality, queries  # noqa: E402
 from .corpora import edge_rows, frame  # noqa: E402
 from .test_decontamination import plain as leaked  # noqa: E402
 from .test_lines import plain as without_lines  # noqa: E402
-from .test_simhash import plain_groups  # noqa: E402
+from .test_nearcopies import plain as near_groups  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -58,8 +58,7 @@ def test_stages_do_what_plain_versions_do(spark, folder):
             assert any("licence" in (t or "") for _, t in b) and sum("licence" in (t or "") for _, t in b) == 1
             assert all(r.n_chars == len(r.text) for r in after.collect())
         elif name == "near_duplicates":
-            keep = {d for d, _, c in plain_groups(a) if d == c}
-            assert {d for d, _ in b} == keep
+            assert sorted(b, key=str) == sorted({x for x, (d, c) in zip(sorted(a, key=str), near_groups(sorted(a, key=str))) if d == c}, key=str)
         else:
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
             bad = {d for d, *_ in leaked(a, items)}
@@ -74,6 +73,43 @@ def test_stages_do_what_plain_versions_do(spark, folder):
     assert max(fill.values()) <= 1024
 
 
+ODD = "doc_id long, text string, lang string, `row` string, `__id` long, `keep` string, `a.b` int, n_chars int"
+
+
+def odd_rows():
+    """Repeated rows, rows of one doc_id with other texts, rows without one, and null columns."""
+    rng = random.Random(31)
+    words = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    item, line, copy = words(40), "A line of terms that many of these documents share, in all of them.", words(80)
+    texts = [(d, words(60) + (f"\n{line}" if d < 8 else "")) for d in range(12)]
+    texts += [(3, words(50)), (3, f"{words(5)} {item}"), (None, f"{words(9)} {item} {words(9)}"), (None, words(30)), (None, copy), (20, copy), (21, copy + " end"), (5, copy)]
+    texts += [(30, None), (31, ""), texts[0], texts[0]]
+    return [(d, t, None if (d or 0) % 2 else "en", "r", i, "k", None, None) for i, (d, t) in enumerate(texts)], item
+
+
+def test_odd_rows_and_names(spark, tmp_path):
+    rows, item = odd_rows()
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, 1, 0) for d in range(0, 12, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "line_dedup", "near_duplicates", "decontamination"):
+        assert stages[name](spark, docs, str(tmp_path)).columns == docs.columns
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert stages["packing"](spark, docs.limit(0), str(tmp_path)).collect() == []
+    a = [(r.doc_id, r.text) for r in docs.collect()]
+    lines = {(d, h) for d, _, _, h in without_lines(a)}
+    import hashlib
+
+    out = stages["line_dedup"](spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in out} == lines and len(out) == len(rows)
+    near = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()]
+    copies = {x for x in a if x[1] in (rows[16][1], rows[18][1])}
+    assert set(near) == ({x for x in a if x not in copies} - {(31, "")}) | {(5, rows[16][1])} and len(near) == len(set(near))
+    clean = sorted(((r.doc_id, r.text) for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()), key=str)
+    assert clean == sorted((x for x in a if item not in (x[1] or "")), key=str)
+
+
 def test_queries_are_all_there():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

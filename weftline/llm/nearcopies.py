@@ -1,4 +1,8 @@
-"""Near copies: documents whose sets of word shingles are alike, found by MinHash bands and verified exactly."""
+"""Near copies: documents whose sets of word shingles are alike, found by SimHash and MinHash and verified exactly.
+
+Fingerprints of 64 bits within the trie join's budget tell copies that differ little; at a similarity of 0.8 some
+ten bits differ, beyond what a trie can search at scale, so MinHash bands find what the trie leaves out.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_set, measured, saved, small_batches
+from . import simhash
+from .common import by_rows, byte_texts, id_set, keyed, measured, row_set, saved, small_batches
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -61,20 +66,30 @@ def _node(text: bytes) -> int:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, bands) of every document; node is a hash of its words, the same for copies."""
+    """(doc_id, row, node, fp, bands) of every row; node is a hash of its words, the same for copies; fp its SimHash."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, bands = [], []
-            for t in byte_texts(b.column(1)):
+            nodes, fps, bands = [], [], []
+            for t in byte_texts(b.column(2)):
+                h = shingles(t, shingle)
                 nodes.append(_node(t))
-                bands.append(np.array(sketch(shingles(t, shingle)), np.uint64).view(np.int64))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                fps.append(simhash.majority(h) if len(h) else 0)
+                bands.append(np.array(sketch(h), np.uint64).view(np.int64))
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, fp, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "bands"])
+
+    return keyed(docs).mapInArrow(each, "doc_id long, row long, node long, fp long, bands array<long>")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, node long, bands array<long>")
+def _trie_pairs(nodes: DataFrame, budget: int, n: int) -> DataFrame:
+    """(u, v), u > v: pairs of nodes that join all whose fingerprints the trie links: a forest, not every pair."""
+    first = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = saved(simhash.links(first.select("fp"), budget, n=n), "trie")
+    ends = links.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    return same.union(ends).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,37 +139,63 @@ def _across(keys: DataFrame, forest: DataFrame, done: DataFrame) -> DataFrame:
     return pairs.distinct().join(done, ["u", "v"], "left_anti")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): component_id is the least doc_id reachable over pairs of at least this similarity.
-
-    Copies meet in one node first. A pair of nodes is a candidate where it shares a band's key, and a link where
-    the texts' sets of shingles are alike. Each key's least node is compared with its others; then, where a key's
-    nodes aren't all in one component, every pair across components is, so that no candidate is left out and a
-    large group of near copies isn't paired within itself. Null and empty texts are copies of each other. A
-    document without a doc_id links like any other and gets the least id that it reaches.
-    """
+def _members(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(doc_id, row, first struct<none, doc_id, row>): each row with its group's first one: of the least doc_id, then row key."""
     each, rows = measured(_sketches(docs, shingle), "sketches")
-    nodes = each.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    nodes = saved(nodes, "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes, size = measured(each.groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v < top").select("key", "v")
     keys = saved(keys.join(shared, "key").select("key", "node", "v"), "keys")
-    star = saved(keys.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "stars")
-    texts = _texts(docs, keys.select("node"))
+    star = keys.where("node <> v").select(F.col("node").alias("u"), "v").union(_trie_pairs(nodes.select("node", "fp"), simhash.BUDGET, size["n"]))
+    star = saved(star.distinct(), "stars")
+    texts = _texts(docs, star.select(F.explode(F.array("u", "v"))).union(keys.select("node")))
     links = _verified(star, texts, shingle, least)
     forest = components(links)
-    across, size = measured(_across(keys.select("key", "node"), forest, star), "across")
-    if size["n"]:
+    across, more = measured(_across(keys.select("key", "node"), forest, star), "across")
+    if more["n"]:
         forest = components(links.union(_verified(across, texts, shingle, least)))
     member = forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
     member = member.union(forest.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    smallest = member.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("smallest"))
+    smallest = member.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = member.join(smallest, "root").select("node", "smallest")
-    label = nodes.select("node", "least", "n").join(linked, "node", "left").select("node", F.coalesce("smallest", "least").alias("component_id"), "n")
+    label = nodes.select("node", "first", "n").join(linked, "node", "left").select("node", F.coalesce("smallest", "first").alias("first"), "n")
     label = saved(label, "components")
     # Nodes of more than a thousandth of all rows are fewer than a thousand: theirs are joined by broadcast.
-    hot = F.broadcast(label.where(F.col("n") * HOT > rows["n"]).select("node", "component_id"))
-    each = each.select("doc_id", "node")
-    often = each.join(hot, "node").select("doc_id", "component_id")
-    rest = each.join(hot, "node", "left_anti").join(label, "node").select("doc_id", "component_id")
+    hot = F.broadcast(label.where(F.col("n") * HOT > rows["n"]).select("node", "first"))
+    each = each.select("doc_id", "row", "node")
+    often = each.join(hot, "node").select("doc_id", "row", "first")
+    rest = each.join(hot, "node", "left_anti").join(label, "node").select("doc_id", "row", "first")
     return often.unionByName(rest)
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): component_id is the least doc_id reachable over pairs of at least this similarity.
+
+    Copies meet in one node first. A pair of nodes is a candidate where the SimHash trie links it or where it
+    shares a MinHash band's key, and a link where the texts' sets of shingles are alike. Each key's least node is
+    compared with its others; then, where a key's nodes aren't all in one component, every pair across components
+    is, so that no candidate is left out and a large group of near copies isn't paired within itself. Null and
+    empty texts are copies of each other; texts of fewer words than a shingle are one shingle. Very long texts are
+    compared whole. A document without a doc_id links like any other and gets the least id that it reaches. Rows
+    that repeat are all told; an empty table gives no rows.
+    """
+    return _members(docs, shingle, least).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def kept(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group: that of the least doc_id (none is the greatest), then of the least row key.
+
+    Rows are told apart by doc_id and text, so a text of its own stays whatever other rows of its doc_id hold,
+    and rows without a doc_id are copies like others. Of rows alike in both, one stays (by a hash of all columns).
+    """
+    members = saved(_members(docs, shingle, least), "members")
+    mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    gone = members.where(~mine).select("doc_id", "row")
+    again, size = measured(members.where(mine).groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "again")
+    if not size["n"]:
+        return by_rows(docs, row_set(gone), "left_anti")
+    rest = by_rows(docs, row_set(gone.union(again)), "left_anti")
+    own = by_rows(docs, row_set(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("x"))
+    own = own.groupBy(F.col("x.doc_id").alias("i"), F.xxhash64(F.col("x.text")).alias("r")).agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    return rest.union(own.select("x.*"))

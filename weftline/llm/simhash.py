@@ -22,7 +22,7 @@ HOT = 1000
 ROWS, FRONTIER, LEAF = 1 << 18, 1 << 18, 16
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
     """The word whose bits are those set in over half of h."""
     n = len(h)
     if n <= 255:
@@ -52,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
     h = [digest(whole[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    return _majority(np.array(h, np.uint64))
+    return majority(np.array(h, np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
