@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, line and near-duplicate filters, decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that go on, of the same columns; the last gives
-the packed pieces. Null columns, empty texts and extra columns pass through as the operators define.
+Each stage takes (spark, docs, sf_dir) and gives the documents that go on, of the same columns whatever their
+names; the last gives the packed pieces. Stages decide on rows: rows of one doc_id with other texts, and rows
+without a doc_id, are judged by their own texts. Null and empty texts are kept by the first two stages, one row of
+them by the third, and packed as an end mark alone. An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -10,28 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, lines, nearcopies, packing, quality
-from weftline.llm.common import by_ids, id_set, read, saved
+from weftline.llm.common import read, saved
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Rows that the quality classifier doesn't reject; a language without trusted text has no model and stays."""
     return quality.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many share; n_chars follows the text."""
-    out = lines.dedup_lines(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Every row, without the lines that many documents share; n_chars follows the text. Rows without a doc_id lose none."""
+    out = lines.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group linked by a similarity of 0.8 in 5-word shingles; rows without a doc_id stay."""
-    groups = nearcopies.groups(docs.select("doc_id", "text"))
-    return by_ids(docs, id_set(groups.where("doc_id <> component_id").select("doc_id")), "left_anti")
+    """One row of each group linked by a similarity of 0.8 in 5-word shingles: of the least doc_id; rows alike count once.
+
+    The trie join of SimHash fingerprints and MinHash bands find the pairs, which are verified on the texts.
+    """
+    return nearcopies.kept(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows whose text holds no benchmark item, with or without a doc_id."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
