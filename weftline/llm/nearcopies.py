@@ -23,6 +23,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 30, 5
 #: A node is frequent from this fraction of all rows on.
 HOT = 1000
+#: Counters of how many texts hold a shingle (8 bytes each, broadcast).
+BUCKETS = 1 << 20
 #: Shingles that are hashed anew at once; bounds a sketch's memory on long texts.
 BLOCK = 4096
 _RNG = np.random.default_rng(42)
@@ -124,18 +126,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return saved(both.mapInArrow(each, "u long, v long"), "near")
 
 
-def _across(keys: DataFrame, forest: DataFrame, done: DataFrame) -> DataFrame:
-    """(u, v), u > v: the pairs of nodes that share a key, aren't in one component of the forest and aren't done.
-
-    Of each key's components, nodes outside the largest are paired with all nodes that aren't in their own.
-    """
+def _residual(keys: DataFrame, forest: DataFrame) -> DataFrame:
+    """(node, root): nodes of the keys that hold more than one of the forest's components, with their component."""
     root = forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
     label = keys.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = label.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    apart = saved(label.join(most.where("roots > 1"), "key").select("key", "node", "root", "most"), "apart")
-    few = apart.where("root <> most").select("key", F.col("node").alias("v"), F.col("root").alias("other"))
-    pairs = apart.join(few, "key").where("root <> other").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
+    mixed = label.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    return saved(label.join(mixed, "key", "left_semi").select("node", "root").distinct(), "residual")
+
+
+def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(key, node, i, n): the rarest of each text's n shingles, in order from i = 0, so many that alike texts share one.
+
+    Sets whose similarity is at least so much share one of their first n - ceil(least * n) + 1 members in any order
+    that is one for all. Shingles are ordered by how many texts hold them, counted in BUCKETS by their hash.
+    """
+    small_batches(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in byte_texts(b.column(1)):
+                np.add.at(n, (np.unique(shingles(t, shingle)) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], ["bucket", "n"])
+
+    seen = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    often = np.zeros(BUCKETS, np.int64)
+    often[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(often)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, keys, places, sizes = [], [], [], []
+            for node, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+                h = np.unique(shingles(t, shingle))
+                some = max(1, len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1)
+                h = h[np.lexsort((h, held.value[(h % np.uint64(BUCKETS)).astype(np.int64)]))]
+                keys.append(h[:some].view(np.int64))
+                nodes.append(np.full(min(some, len(h)), node))
+                places.append(np.arange(min(some, len(h))))
+                sizes.append(np.full(min(some, len(h)), len(h)))
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(t)) for x, t in ((keys, np.int64), (nodes, np.int64), (places, np.int32), (sizes, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "i", "n"])
+
+    return texts.mapInArrow(each, "key long, node long, i int, n int")
+
+
+def _across(residual: DataFrame, texts: DataFrame, done: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v), u > v: every pair of residual nodes that may be alike, isn't in one component and isn't done.
+
+    Pairs share one of their rarest shingles, of each of which the nodes outside the largest component are paired
+    with all that aren't in their own; sizes and the shingles left after the shared one must allow the similarity.
+    Copies that differ from a common text by more than links hold shingles of their own among the rarest, so a
+    large group of them isn't paired within itself.
+    """
+    own = texts.join(residual.select("node"), "node", "left_semi")
+    label = saved(_prefixes(own, shingle, least).join(residual, "node"), "prefixes")
+    most = label.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = most.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    apart = saved(label.join(most.select("key", "most"), "key"), "apart").select("key", "node", "root", "most", "i", "n")
+    few = apart.where("root <> most").select(F.col("key").alias("own"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("i").alias("j"), F.col("n").alias("m"))
+    n, m = F.col("n"), F.col("m")
+    left = F.least(n - F.col("i"), m - F.col("j"))  # at the first shingle that two sets share, they share no more than these
+    alike = (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (left >= (n + m) * (least / (1 + least)) - 1e-9)
+    pairs = apart.join(few, (F.col("key") == F.col("own")) & (F.col("root") != F.col("other")) & alike)
+    pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
     return pairs.distinct().join(done, ["u", "v"], "left_anti")
 
 
@@ -152,7 +207,7 @@ def _members(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     texts = _texts(docs, star.select(F.explode(F.array("u", "v"))).union(keys.select("node")))
     links = _verified(star, texts, shingle, least)
     forest = components(links)
-    across, more = measured(_across(keys.select("key", "node"), forest, star), "across")
+    across, more = measured(_across(_residual(keys.select("key", "node"), forest), texts, star, shingle, least), "across")
     if more["n"]:
         forest = components(links.union(_verified(across, texts, shingle, least)))
     member = forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -175,7 +230,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -
     Copies meet in one node first. A pair of nodes is a candidate where the SimHash trie links it or where it
     shares a MinHash band's key, and a link where the texts' sets of shingles are alike. Each key's least node is
     compared with its others; then, where a key's nodes aren't all in one component, every pair across components
-    is, so that no candidate is left out and a large group of near copies isn't paired within itself. Null and
+    that the rarest shingles allow is, so that no link is left out and a large group isn't paired within itself. Null and
     empty texts are copies of each other; texts of fewer words than a shingle are one shingle. Very long texts are
     compared whole. A document without a doc_id links like any other and gets the least id that it reaches. Rows
     that repeat are all told; an empty table gives no rows.
