@@ -25,6 +25,9 @@ BANDS, BAND = 30, 5
 HOT = 1000
 #: Counters of how many texts hold a shingle (8 bytes each, broadcast).
 BUCKETS = 1 << 20
+#: 64-bit words of a set's bits, which bound what two sets share.
+WORDS = 8
+_BITS = [f"b{k}" for k in range(WORDS)]
 #: Shingles that are hashed anew at once; bounds a sketch's memory on long texts.
 BLOCK = 4096
 _RNG = np.random.default_rng(42)
@@ -135,7 +138,7 @@ def _residual(keys: DataFrame, forest: DataFrame) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(key, node, i, n): the rarest of each text's n shingles, in order from i = 0, so many that alike texts share one.
+    """(key, node, i, n, b0, ...): the rarest of each text's n shingles, in order from i = 0, so many that alike texts share one.
 
     Sets whose similarity is at least so much share one of their first n - ceil(least * n) + 1 members in any order
     that is one for all. Shingles are ordered by how many texts hold them, counted in BUCKETS by their hash.
@@ -157,7 +160,7 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys, places, sizes = [], [], [], []
+            nodes, keys, places, sizes, bits = [], [], [], [], []
             for node, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 h = np.unique(shingles(t, shingle))
                 some = max(1, len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1)
@@ -166,10 +169,13 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 nodes.append(np.full(min(some, len(h)), node))
                 places.append(np.arange(min(some, len(h))))
                 sizes.append(np.full(min(some, len(h)), len(h)))
+                odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                bits.append(np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (min(some, len(h)), WORDS)))
             columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(t)) for x, t in ((keys, np.int64), (nodes, np.int64), (places, np.int32), (sizes, np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "i", "n"])
+            odd = np.concatenate([np.zeros((0, WORDS), np.int64), *bits])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(odd[:, k]) for k in range(WORDS))], ["key", "node", "i", "n", *_BITS])
 
-    return texts.mapInArrow(each, "key long, node long, i int, n int")
+    return texts.mapInArrow(each, "key long, node long, i int, n int, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _across(residual: DataFrame, texts: DataFrame, done: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -184,11 +190,13 @@ def _across(residual: DataFrame, texts: DataFrame, done: DataFrame, shingle: int
     label = saved(_prefixes(own, shingle, least).join(residual, "node"), "prefixes")
     most = label.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     most = most.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    apart = saved(label.join(most.select("key", "most"), "key"), "apart").select("key", "node", "root", "most", "i", "n")
-    few = apart.where("root <> most").select(F.col("key").alias("own"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("i").alias("j"), F.col("n").alias("m"))
+    apart = saved(label.join(most.select("key", "most"), "key"), "apart").select("key", "node", "root", "most", "i", "n", *_BITS)
+    few = apart.where("root <> most").select(F.col("key").alias("own"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("i").alias("j"), F.col("n").alias("m"), *[F.col(b).alias(f"o{b}") for b in _BITS])
     n, m = F.col("n"), F.col("m")
+    unlike = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"o{b}"))) for b in _BITS), F.lit(0))
     left = F.least(n - F.col("i"), m - F.col("j"))  # at the first shingle that two sets share, they share no more than these
-    alike = (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (left >= (n + m) * (least / (1 + least)) - 1e-9)
+    need = (n + m) * (least / (1 + least)) - 1e-9
+    alike = (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (left >= need) & ((n + m - unlike) / 2 >= need)
     pairs = apart.join(few, (F.col("key") == F.col("own")) & (F.col("root") != F.col("other")) & alike)
     pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
     return pairs.distinct().join(done, ["u", "v"], "left_anti")
