@@ -68,7 +68,7 @@ def run(args: argparse.Namespace, spark=None) -> int:
         case "sync":
             print(f"version {e.sync(args.revision)}")
         case "compact":
-            print(f"removed {len(e.store.vacuum())}")
+            print(f"removed {len(e.compact())}")
         case "search":
             table(e.search(args.text, args.limit))
         case "query":
@@ -80,9 +80,10 @@ def run(args: argparse.Namespace, spark=None) -> int:
         case "path":
             table(e.path(args.a, args.b).orderBy("hop"))
         case "explain":
-            table(e.explain(args.target).orderBy("side", "place"))
+            table(e.describe(args.target).orderBy("section", "place"))
         case "blame":
             table(e.blame(args.target).orderBy("start"))
+            table(e.changed_with(args.target).orderBy("path"))
         case "diff":
             table(e.diff())
         case "report":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 import re
 from collections.abc import Sequence
 
@@ -102,8 +104,21 @@ def is_prose(text: Column | str) -> Column:
     return (F.size(content) != F.size(_words(_of(text)))) & (F.size(content) >= 3) & ~named
 
 
-def summary_weight(text: Column | str) -> Column:
-    return F.when(is_prose(text), F.lit(2.0)).otherwise(F.lit(0.0))
+def weight_override() -> float | None:
+    """The weight that WEFTLINE_SUMMARY_WEIGHT sets for all questions, if it is a finite number of 0 or more."""
+    try:
+        weight = float(os.environ.get("WEFTLINE_SUMMARY_WEIGHT", "").strip())
+    except ValueError:
+        return None
+    return weight if math.isfinite(weight) and weight >= 0 else None
+
+
+def summary_weight(text: Column | str | None = None) -> Column:
+    """The weight of summaries beside texts: 2 for prose, 0 for look-ups, 0.5 without a question; or what is set."""
+    own = weight_override()
+    if own is not None:
+        return F.lit(own)
+    return F.lit(0.5) if text is None else F.when(is_prose(text), F.lit(2.0)).otherwise(F.lit(0.0))
 
 
 def asks_for_dependents(text: Column | str) -> Column:
@@ -202,14 +217,11 @@ def slug(text: Column | str) -> Column:
 # --- secrets ------------------------------------------------------------------------------------------------------
 
 _EDGE = "(?<![A-Za-z0-9_-])", "(?![A-Za-z0-9_-])"
-_TOKENS = {
-    "AWS access key": "AKIA[A-Z0-9]{16}",
-    "Google API key": "AIza[A-Za-z0-9_-]{35,}",
-    "GitHub token": "(?:gh[pos]_[A-Za-z0-9_-]{30,}|github_pat_[A-Za-z0-9_-]{30,})",
-    "API secret key": "sk-[A-Za-z0-9_-]{20,}",
-    "Slack token": "xox[baprs][A-Za-z0-9_-]{17,}",
-}
-_LITERAL = r"""(?i:%s)[A-Za-z0-9_"' ]*\s*[=:]\s*(["'`])((?:(?!\1)[^\n ]){8,}?)\1""" % "|".join(re.escape(n) for n in W.CREDENTIAL_NAMES)
+_TOKENS = W.SECRET_TOKENS
+_NAMED = "|".join(re.escape(n) for n in W.CREDENTIAL_NAMES)
+_REFERENCE = "|".join(re.escape(r) for r in W.CREDENTIAL_REFERENCES)
+# A name, what may follow it, and a quoted literal of eight characters or more that is no reference.
+_LITERAL = rf"""((?i:{_NAMED})[A-Za-z0-9_"' ]*\s*[=:]\s*)(["'`])(?![^\n"'`]*(?:{_REFERENCE}))(?:(?!\2)[^\n ]){{8,}}?\2"""
 
 
 def find_secret(text: Column | str) -> Column:
@@ -218,11 +230,7 @@ def find_secret(text: Column | str) -> Column:
     out = F.when(t.contains("-----BEGIN") & t.contains("PRIVATE KEY-----"), "private key")
     for kind, pattern in _TOKENS.items():
         out = out.when(t.rlike(_EDGE[0] + pattern + _EDGE[1]), kind)
-    literal = F.regexp_extract(t, _LITERAL, 2)
-    named = F.lit(False)
-    for reference in W.CREDENTIAL_REFERENCES:
-        named = named | literal.contains(reference)
-    return out.when((literal != "") & ~named, "hard-coded credential")
+    return out.when(t.rlike(_LITERAL), "hard-coded credential")
 
 
 def redact_secrets(text: Column | str) -> Column:
@@ -230,15 +238,75 @@ def redact_secrets(text: Column | str) -> Column:
     t = F.regexp_replace(_of(text), r"(?s)-----BEGIN[^\n]*?PRIVATE KEY-----.*?(?:-----END[^\n]*?-----|$)", "[REDACTED PRIVATE KEY]")
     for pattern in _TOKENS.values():
         t = F.regexp_replace(t, _EDGE[0] + pattern + _EDGE[1], "[REDACTED]")
-    names = "|".join(re.escape(n) for n in W.CREDENTIAL_NAMES)
-    references = "|".join(re.escape(r) for r in W.CREDENTIAL_REFERENCES)
-    return F.regexp_replace(t, rf"""((?i:{names})[A-Za-z0-9_"' ]*\s*[=:]\s*)(["'`])(?![^\n"'`]*(?:{references}))(?:(?!\2)[^\n ]){{8,}}?\2""", "$1$2[REDACTED]$2")
+    return F.regexp_replace(t, _LITERAL, "$1$2[REDACTED]$2")
 
 
 def snippet(text: Column | str, chars: int) -> Column:
-    """The first characters, cut at the last newline if that is past half of them."""
+    """The first characters, cut at the last newline if that is past half of their bytes."""
     t = _of(text)
     head = F.substring(t, 1, chars)
-    at = F.length(head) - F.locate("\n", F.reverse(head))  # characters before the last newline
-    near = (F.locate("\n", head) > 0) & (at > F.floor(F.length(head) / 2))
-    return F.when(F.char_length(t) <= chars, t).when(near, F.substring(head, F.lit(1), at)).otherwise(head)
+    before = F.substring(head, F.lit(1), F.length(head) - F.locate("\n", F.reverse(head)))  # what stands before the last newline
+    near = (F.locate("\n", head) > 0) & (F.octet_length(before) > F.floor(F.octet_length(head) / 2))
+    return F.when(F.char_length(t) <= chars, t).when(near, before).otherwise(head)
+
+
+# --- addresses, tags and what a report shows -----------------------------------------------------------------------
+
+
+def is_specific(path: Column | str) -> Column:
+    """Whether an endpoint tells its service: more than one segment besides parameters, or one that isn't generic."""
+    own = F.filter(F.split(_of(path), "/"), lambda s: (s != "") & (s != "{}"))
+    return (F.size(own) > 1) | ((F.size(own) == 1) & ~F.get(own, F.lit(0)).isin(list(W.GENERIC_SEGMENTS)))
+
+
+def wiki_slug(text: Column | str) -> Column:
+    """A page's name: ASCII letters and digits in lower case with single hyphens, at most 40 characters."""
+    own = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(_of(text), "[^A-Za-z0-9]+", "-")), "^-+|-+$", ""), "^$", "community")
+    return F.substring(own, 1, 40)
+
+
+def valid_tag(tag: Column | str) -> Column:
+    """A repository's tag: up to 64 letters, digits, points, underscores and hyphens."""
+    return _of(tag).rlike(r"^[A-Za-z0-9._-]{1,64}$")
+
+
+def default_tag(source: Column | str) -> Column:
+    """The last part of a place, without its extension, with hyphens for what a tag can't hold."""
+    last = F.element_at(F.split(F.regexp_replace(_of(source), "/+$", ""), "/"), -1)
+    return F.regexp_replace(F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""), "[^A-Za-z0-9._-]", "-")
+
+
+def format_bytes(n: Column | str) -> Column:
+    b = _of(n)
+    return (
+        F.when(b >= 1024 * 1024, F.format_string("%.1f MB", F.bround(b / F.lit(1048576.0), 1)))
+        .when(b >= 1024, F.format_string("%.1f KB", F.bround(b / F.lit(1024.0), 1)))
+        .otherwise(F.format_string("%d B", b))
+    )
+
+
+def format_day(seconds: Column | str) -> Column:
+    """YYYY-MM-DD of seconds since 1970, in UTC whatever the session's zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_of(seconds) / 86_400).cast("int")), "yyyy-MM-dd")
+
+
+def redact_dsn(message: Column | str, dsn: Column | str) -> Column:
+    """A message without the passwords of a connection string: user:password@ of an address, or password= of a list."""
+    address = F.regexp_extract(_of(dsn), r"^[^:]*?://([^@]*)@", 1)
+    first = F.regexp_extract(address, r"^[^:]*:(.*)$", 1)
+    listed = F.transform(F.regexp_extract_all(_of(dsn), F.lit(r"(?:^|\s)password=(\S+)"), F.lit(1)), lambda p: F.regexp_replace(p, "^'+|'+$", ""))
+    secrets = F.filter(F.concat(F.array(first), listed), lambda p: p != "")
+    return F.aggregate(secrets, _of(message).cast("string"), lambda text, p: F.replace(text, p, F.lit("[redacted]")))
+
+
+def embedding_text(nodes_kind: Column | str = "kind") -> Column:
+    """What is embedded of a node (kind, label, path, name, title, body, state): null for kinds that aren't."""
+    kind, title, words = _of(nodes_kind), F.coalesce(F.col("title"), F.lit("")), embed_words("name")
+    return (
+        F.when(kind.isin("requirement", "task", "adr"), F.concat(title, F.lit(". "), F.substring(F.coalesce("body", F.lit("")), 1, 600)))
+        .when(kind == "doc_section", title)
+        .when((kind == "symbol") & F.col("path").isNotNull(), F.concat(words, F.lit(" in "), embed_words("path")))
+        .when(kind == "symbol", words)
+        .when(kind.isin("table", "view"), F.concat(kind, F.lit(" "), words))
+        .when((kind == "annotation") & (F.col("state") == "fresh"), F.concat(F.col("label"), F.lit(". "), F.coalesce("body", F.lit(""))))
+    )

@@ -59,3 +59,18 @@ LANGUAGES = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx"
 # Names of files with keys, of generated files, of folders that are skipped, and extensions worth a summary.
 ELIGIBLE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "md")
 SKIPPED_FOLDERS = (".git", ".specs/.index", ".specs/.cache", ".models", "target", "node_modules", "dist", "build", "coverage", ".next", "vendor")
+
+# Fixed patterns of tokens that are secrets, by kind, in the order in which they are tried.
+SECRET_TOKENS = {
+    "AWS access key": "AKIA[A-Z0-9]{16}",
+    "Google API key": "AIza[A-Za-z0-9_-]{35,}",
+    "GitHub token": "(?:gh[pos]_[A-Za-z0-9_-]{30,}|github_pat_[A-Za-z0-9_-]{30,})",
+    "API secret key": "sk-[A-Za-z0-9_-]{20,}",
+    "Slack token": "xox[baprs][A-Za-z0-9_-]{17,}",
+}
+
+# First segments of endpoints that tell no service.
+GENERIC_SEGMENTS = ("health", "healthz", "status", "ping", "metrics", "ready", "live", "version", "login", "logout")
+
+# Receivers whose methods are HTTP calls.
+HTTP_RECEIVERS = ("axios", "http", "httpclient", "client", "api", "request", "requests", "got", "ky", "httpx", "session", "fetcher")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -10,11 +10,10 @@ from .lineage import cut
 MAX_COMMITS, MONTHS_DAYS, MIN_FILES, MAX_FILES, MAX_PARTNERS = 500, 180, 2, 200, 50
 
 
-def recent(commits: DataFrame, max_commits: int | None = MAX_COMMITS, days: int | None = MONTHS_DAYS, min_files: int = MIN_FILES, max_files: int = MAX_FILES) -> DataFrame:
-    """Commits (commit, at, files) of the last days before the newest, the newest first, of few enough files."""
+def recent(commits: DataFrame, max_commits: int | None = MAX_COMMITS, days: int | None = MONTHS_DAYS, min_files: int = MIN_FILES, max_files: int = MAX_FILES, now: Column | None = None) -> DataFrame:
+    """Commits (commit, at, files) of the last days before now, the newest first, of few enough files."""
     if days is not None:
-        newest = commits.agg((F.max("at") - F.expr(f"INTERVAL {days} DAYS")).alias("since"))
-        commits = commits.join(F.broadcast(newest), commits["at"] >= newest["since"]).drop("since")
+        commits = commits.where(F.col("at") >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {days} DAYS"))
     if max_commits is not None:
         commits = commits.orderBy(F.desc("at"), F.desc("commit")).limit(max_commits)
     return commits.where(F.size("files").between(min_files, max_files))

@@ -111,6 +111,15 @@ def to_wiki(links: DataFrame, member: DataFrame, folder: str) -> list[str]:
     return ["index.md", *written]
 
 
+def file_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, weight): the graph of files over imports and co-changes, for communities."""
+    files = nodes.where("kind = 'file'").select("id", "path")
+    a, b = files.toDF("from_id", "a"), files.toDF("to_id", "b")
+    both = edges.where(F.col("edge_type").isin(4, 5, 6)).join(a, "from_id").join(b, "to_id")
+    imports = both.where("edge_type <> 4").select(F.col("a").alias("from_path"), F.col("b").alias("to_path"))
+    return communities.file_graph(imports, both.where("edge_type = 4").select("a", "b"))
+
+
 def report(nodes: DataFrame, edges: DataFrame, top: int = 10) -> dict:
     """Counts, most connected nodes, communities, cycles and coverage, as plain values."""
     files = nodes.where("kind = 'file'").select("id", "path")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -115,6 +115,39 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return bare.unionByName(loose).unionByName(lost)
 
 
+def with_requirement(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind): symbols that satisfy an existing requirement, and the files that they are defined in."""
+    requirements = nodes.where("kind = 'requirement'").select(F.col("id").alias("to_id"))
+    own = edges.where(F.col("edge_type") == SATISFIES).join(requirements, "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
+    symbols = nodes.where("kind = 'symbol'").select("id", "kind").join(own, "id", "left_semi")
+    home = edges.where(F.col("edge_type") == DEFINED_IN).join(symbols.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
+    return symbols.union(nodes.where("kind = 'file'").select("id", "kind").join(home, "id", "left_semi"))
+
+
+def repositories(nodes: DataFrame, edges: DataFrame, tag: Column, rounds: int = 2) -> DataFrame:
+    """(id, repo) of a global graph: what nodes tell of themselves (tag), passed on twice over edges.
+
+    A node without a repository takes that of what it is defined in, of what it annotates, or, if it is an external
+    endpoint, of its callers; of several the least. Two rounds reach from a file to its symbols and their notes.
+    """
+    map_ = nodes.select("id", tag.alias("repo")).where("repo IS NOT NULL")
+    outside = nodes.where("kind = 'endpoint' AND path IS NULL").select("id")
+    down = edges.where(F.col("edge_type") == DEFINED_IN).select(F.col("from_id").alias("id"), F.col("to_id").alias("by"))
+    notes = edges.where("edge_type = 11").select(F.col("to_id").alias("id"), F.col("from_id").alias("by"))
+    called = edges.where("edge_type = 7").select(F.col("to_id").alias("id"), F.col("from_id").alias("by")).join(outside, "id", "left_semi")
+    ways = down.union(notes).union(called)
+    for _ in range(rounds):
+        passed = ways.join(map_.withColumnRenamed("id", "by"), "by").groupBy("id").agg(F.min("repo").alias("repo"))
+        map_ = cut(map_.union(passed.join(map_.select("id"), "id", "left_anti").select("id", "repo")))
+    return map_
+
+
+def restricted(nodes: DataFrame, edges: DataFrame, repos: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes of one repository and the edges among them."""
+    own = nodes.join(repos.where(F.col("repo") == repo).select("id"), "id", "left_semi")
+    return own, live(edges, own)
+
+
 # --- walks --------------------------------------------------------------------------------------------------------
 
 
@@ -140,8 +173,9 @@ def affected(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 2, cap:
         first = seen.groupBy(F.col("from_id").alias("id")).agg(F.min(F.struct("pos", "edge_type", "meta")).alias("via")).select("id", "via.edge_type", "via.meta")
         named = first.join(nodes.select("id", "label", "kind"), "id")
         order = [C.meta_inferred("meta"), C.meta_context("meta", 0b11), F.col("label"), F.col("id")]
-        best = named.orderBy(*order).limit(cap).collect()  # at most cap rows
-        dropped = max(0, named.count() - cap) if len(best) == cap else 0
+        seen_all = Observation()  # the level's size, from the job that takes its best
+        best = named.observe(seen_all, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(cap).collect()  # at most cap rows
+        dropped = max(0, seen_all.get["n"] - cap)
         frontier = [r["id"] for r in best]
         visited += frontier
         rows += [(r["id"], r["label"], r["kind"], d, W.RELATIONS[r["edge_type"]], bool(r["meta"] & 1), W.CONTEXTS[r["meta"] >> 1 & 7], dropped) for r in best]
@@ -266,6 +300,28 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, max_hops:
     return spark.createDataFrame(path, "hop int, id string")
 
 
+def reachable(nodes: DataFrame, edges: DataFrame, start: str, cap: int = 100_000, types: Sequence[int] = DEFAULT_TYPES) -> int:
+    """How many other nodes an undirected walk from start reaches; the walk ends after the level that passes cap."""
+    spark = edges.sparkSession
+    own = live(edge_filter(edges, types), nodes).select("from_id", "to_id")
+    both = cut(own.union(own.select("to_id", "from_id")).distinct())
+    frontier = spark.createDataFrame([(start,)], "id string")
+    seen, n = frontier, 1
+    while n <= cap:
+        step = both.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
+        frontier = cut(step.join(seen, "id", "left_anti"))
+        new = frontier.count()
+        if not new:
+            break
+        seen, n = seen.union(frontier), n + new
+    return n - 1
+
+
+def lost_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, types: Sequence[int] = DEFAULT_TYPES) -> dict[str, int]:
+    """What to say where no path joins a and b: how many nodes each reaches."""
+    return {"from": reachable(nodes, edges, a, types=types), "to": reachable(nodes, edges, b, types=types)}
+
+
 # --- look-ups -----------------------------------------------------------------------------------------------------
 
 
@@ -280,6 +336,46 @@ def explain(nodes: DataFrame, edges: DataFrame, root: str, top: int = 10) -> Dat
     return named.where(F.col("place") <= top).select("side", "place", "id", "label", C.relation_name("edge_type").alias("relation"), "total")
 
 
+def described(nodes: DataFrame, edges: DataFrame, root: str, member: DataFrame | None = None, solid: DataFrame | None = None, annotations: DataFrame | None = None, authors: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """(section, place, value, total): a node's whole explanation, a row for each thing to say.
+
+    location (lines from 1), text (240 characters), depends on and depended on by (the best, with whole counts),
+    requirements (or what satisfies one), community with its cohesion, notes, similar nodes (5, by score) and
+    recent authors (3), as far as the tables for them are given.
+    """
+    node = nodes.where(F.col("id") == root)
+    row = lambda df, section, place, value, total=F.lit(None): df.select(F.lit(section).alias("section"), place.cast("int").alias("place"), value.cast("string").alias("value"), total.cast("long").alias("total"))
+    one = F.lit(1)
+    lines = F.concat_ws("-", (F.col("line_start") + 1).cast("string"), (F.col("line_end") + 1).cast("string"))
+    place = F.concat_ws(":", "path", F.when((F.col("kind") == "symbol") & F.col("line_start").isNotNull(), lines))
+    out = row(node, "label", one, F.col("label")).union(row(node, "kind", one, F.col("kind"))).union(row(node.where("path IS NOT NULL"), "location", one, place))
+    prose = node.where("kind IN ('requirement', 'task', 'adr') AND body <> ''")
+    out = out.union(row(prose, "text", one, F.substring("body", 1, 240)))
+    near = explain(nodes, edges, root, top)
+    for side, section in (("dependencies", "depends on"), ("dependents", "depended on by")):
+        out = out.union(row(near.where(F.col("side") == side), section, F.col("place"), F.concat_ws(" ", "relation", "label"), F.col("total")))
+    labels = nodes.select("id", "label", "kind")
+    by = edges.where((F.col("edge_type") == SATISFIES) & (F.col("to_id") == root)).select(F.col("from_id").alias("id")).join(labels, "id")
+    by = by.join(F.broadcast(node.where("kind = 'requirement'").select(F.lit(1).alias("is"))), how="inner").select(F.concat(F.lit("satisfied by "), F.col("label")).alias("label"))  # one row or none
+    own = edges.where((F.col("edge_type") == SATISFIES) & (F.col("from_id") == root)).select(F.col("to_id").alias("id")).join(labels.where("kind IN ('requirement', 'adr')"), "id").select("label")
+    both = by.union(own).distinct().withColumn("n", F.row_number().over(Window.orderBy("label")))  # one node's links
+    out = out.union(row(both, "requirements", F.col("n"), F.col("label")))
+    if member is not None:
+        home = member.join(F.broadcast(node.select(F.col("path").alias("file"))), "file")
+        home = home.join(solid.select("community", "cohesion"), "community", "left") if solid is not None else home.withColumn("cohesion", F.lit(None).cast("double"))
+        out = out.union(row(home, "community", one, F.format_string("community %d, cohesion %.2f", F.col("community"), F.coalesce("cohesion", F.lit(0.0)))))
+    if annotations is not None:
+        notes = annotations.where(F.col("target") == root).withColumn("n", F.row_number().over(Window.orderBy("note")))  # one node's notes
+        out = out.union(row(notes, "notes", F.col("n"), F.col("note")))
+    like = edges.where((F.col("edge_type") == 12) & (F.col("from_id") == root)).join(labels, F.col("to_id") == labels["id"]).select("label", F.coalesce(C.meta_similarity("meta"), F.lit(0.0)).alias("score"))
+    like = like.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "label"))).where("n <= 5")
+    out = out.union(row(like, "similar", F.col("n"), F.format_string("%s (%.2f)", F.col("label"), F.col("score"))))
+    if authors is not None:  # (author, at) of the commits that touched the node
+        last = authors.groupBy("author").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "author").limit(3)
+        out = out.union(row(last.withColumn("n", F.row_number().over(Window.orderBy(F.desc("at"), "author"))), "authors", F.col("n"), F.col("author")))
+    return out
+
+
 def resolve(nodes: DataFrame, target: str, top: int = 5) -> DataFrame:
     """(step, id, label, kind): what a text names; the first step with a match decides, several are ambiguous.
 

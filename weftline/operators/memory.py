@@ -44,6 +44,23 @@ def lessons(reflected: DataFrame) -> DataFrame:
     return reflected.select(F.col("node").alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(bad, F.lit(False)).alias("bad"))
 
 
+def render(lessons_: list[dict]) -> str:
+    """Lessons (label, lesson, useful, negative, leaning) as Markdown, a section for each class."""
+    times = lambda n: f"{n} time" + ("" if n == 1 else "s")
+    told = {
+        "preferred": ("Preferred", lambda r: f"useful {times(r['useful'])}"),
+        "tentative": ("Tentative", lambda r: f"useful {times(r['useful'])}"),
+        "contested": ("Contested", lambda r: f"useful {times(r['useful'])}, dead end or corrected {times(r['negative'])}; the latest says {'useful' if r['leaning'] == 'useful' else 'avoid'}"),
+        "dead_end": ("Dead ends", lambda r: f"dead end or corrected {times(r['negative'])}"),
+    }
+    out = "# Lessons\n"
+    for lesson, (title, tell) in told.items():
+        own = [r for r in lessons_ if r["lesson"] == lesson]
+        if own:
+            out += f"\n## {title}\n\n" + "".join(f"- `{r['label'] or r['node']}`: {tell(r)}\n" for r in own)
+    return out + ("" if lessons_ else "\nNo lessons yet.\n")
+
+
 def annotation_state(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
     """annotations (id, target, source_hash, ...) with state: dangling, stale or fresh by the target's hash now."""
     now = nodes.select(F.col("id").alias("target"), F.col("source_hash").alias("hash_now"))
@@ -53,7 +70,10 @@ def annotation_state(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def annotation_lint(annotations: DataFrame, max_chars: int = MAX_NOTE) -> DataFrame:
-    """(id, problem) of annotations (id, target, note, state): duplicates, stale, dangling, too long, secrets."""
+    """(id, problem) of annotations (id, target, note, state, relation): duplicates, stale, dangling, too long, secrets, relations to what isn't there.
+
+    A relation is 'name:id' of another annotation; the column may be missing.
+    """
     from ..functions.columns import find_secret
 
     key = ["target", F.lower("note")]
@@ -63,4 +83,8 @@ def annotation_lint(annotations: DataFrame, max_chars: int = MAX_NOTE) -> DataFr
         F.when(F.col("state") == "stale", "stale"), F.when(F.col("state") == "dangling", "dangling"),
         F.when(F.char_length("note") > max_chars, "too_long"), F.when(find_secret("note").isNotNull(), "secret"),
     ))
-    return duplicate.union(annotations.select("id", F.explode(problems)))
+    out = duplicate.union(annotations.select("id", F.explode(problems)))
+    if "relation" in annotations.columns:
+        to = annotations.where("relation IS NOT NULL").select("id", F.regexp_extract("relation", "[^:]*$", 0).alias("other"))
+        out = out.union(to.join(annotations.select(F.col("id").alias("other")), "other", "left_anti").select("id", F.lit("broken_relation")))
+    return out

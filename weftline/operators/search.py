@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import budget, graph
+from .lineage import cut
 from .sizes import small
 
 K1, B = 1.2, 0.75
 RRF_K, LEXICAL, VECTOR = 60, 1.0, 0.1
 BOOST, PENALTY = 1.25, 0.5
+#: Words that are listed in a filter on stored postings.
+MOST_TERMS = 200
+#: Relations of the one hop from what was found, and dependents that an answer adds.
+EXPANDED, MOST_DEPENDENTS = (1, 0, 3, 2), 15
+TIERS = ("Target", "Seed", "Dependency")
 
 
 def tokens(text: Column | str) -> Column:
@@ -20,31 +32,68 @@ def tokens(text: Column | str) -> Column:
 
 
 def postings(docs: DataFrame, id_column: str, text: Column | str = "text", tokenizer=tokens) -> DataFrame:
-    """(id, term, tf, len): a document's terms; counted within the document's row, so nothing is shuffled."""
+    """(term, id, tf, len): documents' terms. Counts are combined where a document lies, then meet by (id, term)."""
     own = docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms"))
-    return own.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = own.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    return own.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+
+
+def index(docs: DataFrame, id_column: str, text: Column | str = "text", tokenizer=tokens) -> dict[str, DataFrame]:
+    """Tables of a stored lexical index: postings laid out by term, and the corpus' sizes (docs, mean)."""
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg(F.size(tokenizer(text))), F.lit(0.0)).alias("mean"))
+    return {"postings": postings(docs, id_column, text, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "id"), "sizes": size}
+
+
+def _ranked(hits: DataFrame, docs: Column, mean: Column, wanted: DataFrame, k: int) -> DataFrame:
+    """BM25 of hits (id, len, term, tf) for wanted (query_id, term)."""
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    scored = hits.join(df, "term").withColumn("part", part).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _wanted(queries: DataFrame, tokenizer) -> DataFrame:
+    return small(queries.select("query_id", F.explode(F.array_distinct(tokenizer("text"))).alias("term")))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_column: str, text: str = "text", k: int = 20, tokenizer=tokens) -> DataFrame:
     """(query_id, rank, id, score): the k best documents for each query (query_id, text), any of its words.
 
-    The corpus is scanned once for its lengths and once for the queries' words: words that no query has are
-    dropped as a text is split, by a broadcast join with the queries' distinct words, before any shuffle.
-    Ties go to the smaller id.
+    The corpus is split once: words that no query has are dropped where they lie, by a join with the queries'
+    distinct words, and the hits that are left are saved together with the corpus' sizes. Hits of one document
+    and word are combined before they are shuffled. Ties go to the smaller id.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokenizer("text"))).alias("term"))
+    wanted = _wanted(queries, tokenizer)
+    seen = Observation()
     split = docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms")).withColumn("len", F.size("terms"))
-    size = split.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    wanted = small(wanted)
+    split = split.observe(seen, F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     hits = split.select("id", "len", F.explode("terms").alias("term")).join(small(wanted.select("term").distinct()), "term")
-    hits = hits.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(size))  # one row of sizes
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = weighed.withColumn("part", part).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    hits = cut(hits.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    size = seen.get
+    return _ranked(hits, F.lit(size["docs"]), F.lit(size["mean"] or 1.0), wanted, k)
+
+
+def bm25_stored(stored: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 20, tokenizer=tokens) -> DataFrame:
+    """bm25() over the tables of index(): only the queries' words are read, by a list pushed down to the postings."""
+    wanted = _wanted(queries, tokenizer)
+    terms = wanted.select("term").distinct()
+    some = [r["term"] for r in terms.limit(MOST_TERMS + 1).collect()]
+    hits = stored.where(F.col("term").isin(some)) if len(some) <= MOST_TERMS else stored.join(small(terms), "term", "left_semi")
+    size = sizes.first()
+    return _ranked(hits, F.lit(size["docs"]), F.lit(size["mean"] or 1.0), wanted, k)
+
+
+def weighted(lists: list[tuple[DataFrame, Column]], k: int = 20) -> DataFrame:
+    """(query_id, rank, id, score) of several fields' lists, summed; a list's weight is a column of its query."""
+    every = None
+    for found, weight in lists:
+        part = found.select("query_id", "id", (F.col("score") * weight).alias("score")).where("score > 0")
+        every = part if every is None else every.union(part)
+    out = every.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -56,26 +105,75 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 1.0).otherwise(1 - F.least(F.greatest(dot(x, y) / norms, F.lit(-1.0)), F.lit(1.0)))
 
 
-#: Queries that are broadcast at once; more are taken in blocks, each of which scans the candidates.
-QUERY_BLOCK = 10_000
+#: Bytes of the candidates that a task holds, and of its distances at once.
+HELD_BYTES, DISTANCE_BYTES = 64 << 20, 16 << 20
+
 
+def _vectors(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list array, filled with zeros up to width; null and non-finite components read as 0."""
+    offsets, flat = lists.offsets.to_numpy(), lists.values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat[offsets[0] : offsets[-1]]
+    return np.where(np.isfinite(out), out, 0.0)
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", held_bytes: int = HELD_BYTES) -> DataFrame:
     """(query_id, rank, id, distance): exact neighbours of queries (query_id, embedding), their own id left out.
 
-    The queries are broadcast in blocks of a bounded size; the candidates are scanned where they lie, and each
-    task hands on its k best.
+    distance is 1 - cosine in double precision, 1 where either norm is 0. Candidates are dealt to blocks of a
+    bounded size and the queries to every block, sorted after its candidates; a task streams the queries past
+    the block and hands on its k best for each. Nothing passes through the driver. Null vectors take no part.
     """
-    blocks = max(1, -(-queries.count() // block))
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    candidates, scored = rows.select(F.col(id_column).alias("id"), "embedding"), None
-    for b in range(blocks):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        pairs = candidates.join(F.broadcast(own), F.col("id") != F.col("query_id"))
-        part = pairs.select("query_id", "id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
-        scored = part if scored is None else scored.union(part)
+    spark = rows.sparkSession
+    candidates = rows.where("embedding IS NOT NULL").select(F.col(id_column).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    size = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    width = max(1, size["width"] or 0)
+    blocks = max(spark.sparkContext.defaultParallelism, math.ceil(size["n"] * width * 8 / held_bytes))
+    block = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    every = candidates.select(block.alias("block"), F.lit(0).alias("kind"), "id", "v")
+    every = every.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, ids, own = None, [], None, None
+        for b in batches:
+            place, kind, key = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(place)]])
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if s == e:
+                    continue
+                if place[s] != at:
+                    at, parts, ids = int(place[s]), [], None
+                v = _vectors(b.column(3).slice(s, e - s), width)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+                if kind[s] == 0:
+                    parts.append((key[s:e], v))
+                    continue
+                if ids is None:
+                    ids = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)])
+                    own = np.concatenate([np.zeros((0, width)), *(x for _, x in parts)])
+                    parts = []
+                if not len(ids):
+                    continue
+                step = max(1, DISTANCE_BYTES // (8 * len(ids)))
+                for lo in range(0, e - s, step):
+                    q = key[s + lo : min(s + lo + step, e)]
+                    far = np.round(1 - np.clip(v[lo : lo + step] @ own.T, -1, 1), 9)
+                    far[q[:, None] == ids] = np.inf
+                    some = min(k, len(ids))
+                    least = np.partition(far, some - 1, axis=1)[:, some - 1]
+                    row, col = np.nonzero((far <= least[:, None]) & np.isfinite(far))
+                    order = np.lexsort((ids[col], far[row, col], row))  # ties with the k-th may be many
+                    row, col = row[order], col[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(ids[col]), pa.array(far[row, col])], ["query_id", "id", "distance"])
+
+    dealt = every.repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(each, "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, lexical_weight: float = LEXICAL, vector_weight: float = VECTOR) -> DataFrame:
@@ -94,7 +192,7 @@ def overlay(scored: DataFrame, lessons: DataFrame, boost: float = BOOST, penalty
 def similar(rows: DataFrame, k: int = 3, threshold: float = 0.75, id_column: str = "vec_id") -> DataFrame:
     """(id, other, similarity15): each row's k nearest by cosine from the threshold on, in fifteenths; one-sided.
 
-    All rows are queries, in nearest()'s blocks.
+    All rows are queries, streamed past nearest()'s blocks.
     """
     queries = rows.select(F.col(id_column).alias("query_id"), "embedding")
     near = nearest(rows, queries, k, id_column).where((1 - F.col("distance")) >= threshold)
@@ -114,3 +212,42 @@ def search(docs: DataFrame, questions: DataFrame, id_column: str = "doc_id", k:
         out = overlay(out, lessons)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def dependents(edges: DataFrame, targets: DataFrame, k: int = MOST_DEPENDENTS) -> DataFrame:
+    """(id, place): who depends on the targets (id), certain and runtime edges first; one id once, at most k."""
+    own = graph.edge_filter(edges, graph.DEPENDENCIES)
+    ends = small(targets.select("id").distinct())
+    into = own.join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
+    trust = F.struct(C.meta_inferred("meta").alias("inferred"), C.meta_context("meta", 0b11).alias("context"))
+    best = into.groupBy(F.col("from_id").alias("id")).agg(F.min(trust).alias("trust")).orderBy("trust", "id").limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy("trust", "id"))).select("id", "place")  # at most k rows
+
+
+def expanded(nodes: DataFrame, edges: DataFrame, found: DataFrame, asks: bool, k: int = MOST_DEPENDENTS) -> DataFrame:
+    """(id, tier, place, score): what was found (rank, id, score), one hop along semantic edges, and dependents.
+
+    The first hit is the target, others are seeds; forward dependency edges aren't followed. Where the question
+    asks for dependents, those of the hits come after, and then those of the hits' files.
+    """
+    seeds = small(found.select("id", F.when(F.col("rank") == 1, 0).otherwise(1).alias("tier"), F.col("rank").alias("place"), "score"))
+    hop = edges.where(F.col("edge_type").isin(list(EXPANDED))).join(seeds.select(F.col("id").alias("from_id"), "place"), "from_id")
+    hop = hop.groupBy(F.col("to_id").alias("id")).agg((F.min("place") + 1000).alias("place")).join(seeds.select("id"), "id", "left_anti")
+    out = seeds.union(hop.select("id", F.lit(2).alias("tier"), "place", F.lit(0.0).alias("score")))
+    if asks:
+        files = edges.where(F.col("edge_type") == graph.DEFINED_IN).join(seeds.select(F.col("id").alias("from_id")), "from_id").select(F.col("to_id").alias("id"))
+        both = dependents(edges, seeds, k).withColumn("place", F.col("place") + 2000).union(dependents(edges, files, k).withColumn("place", F.col("place") + 3000))
+        more = both.groupBy("id").agg(F.min("place").alias("place")).join(out.select("id"), "id", "left_anti").orderBy("place", "id").limit(k)
+        out = out.union(more.select("id", F.lit(2).alias("tier"), "place", F.lit(0.0).alias("score")))
+    return out.join(nodes.select("id"), "id", "left_semi")
+
+
+def markdown(items: DataFrame) -> str:
+    """A dense answer of items (tier, seq, lang, text) in their order: a heading and a fenced block for each."""
+    rows = items.orderBy("tier", "seq").collect()  # what a token budget let through
+    return "".join(f"### {TIERS[r['tier']]}\n```{r['lang'] or ''}\n{r['text']}\n```\n\n" for r in rows)
+
+
+def answer(items: DataFrame, max_tokens: int) -> DataFrame:
+    """Items (id, tier, place, lang, text) that fit a budget, tier by tier in the order of place."""
+    return budget.fit(items.withColumn("answer", F.lit(0)), "answer", "tier", "place", "text", max_tokens).withColumn("seq", F.col("place"))

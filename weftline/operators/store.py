@@ -110,6 +110,21 @@ class Store:
         base, delta, gone = self.read(name), self.read(f"{name}.delta"), self.read(f"{name}.removed")
         return base if base is None or delta is None else delta_view(base, delta, gone, key)
 
+    def compact(self) -> list[str]:
+        """Rewrite tables that have a delta with it, in one version; their names."""
+        from .graph import delta_view
+
+        names = [n for n in self.manifest()["tables"] if f"{n}.delta" in self.manifest()["tables"]]
+        staged: dict[str, DataFrame] = {}
+        for n in names:
+            base, delta, gone = self.read(n), self.read(f"{n}.delta"), self.read(f"{n}.removed")
+            if delta.isEmpty() and gone.isEmpty():
+                continue
+            staged |= {n: delta_view(base, delta, gone, gone.columns[0]), f"{n}.delta": delta.limit(0), f"{n}.removed": gone.limit(0)}
+        if staged:
+            self.commit(staged)
+        return sorted(n for n in staged if "." not in n)
+
     def vacuum(self) -> list[str]:
         """Remove folders that no table of the newest version uses."""
         used, gone = set(self.manifest()["tables"].values()), []

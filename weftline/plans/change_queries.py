@@ -79,8 +79,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _once(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    return feeds.once(stream, name, mode, f"{shared_dir(stream.sparkSession)}/{name}")
+    return feeds.into_table(stream, mode, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}")
 
 
 def st_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +89,8 @@ def st_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_session_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of each type's errors and sign-ups without a pause of ten minutes, streamed."""
-    own = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).where("event_type IN ('error', 'signup')")
+    """Bursts of each type of event without a pause of ten minutes, streamed."""
+    own = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     return _once(feeds.bursts(own, "event_type", "ts", "10 minutes", "30 days"), "complete")
 
 
@@ -132,7 +131,7 @@ SELECT repo, sha256('repo:' || repo || ':' || c_name) AS id, CAST(community + sh
 SELECT DISTINCT 'web-' || c.repo AS from_repo, c.path AS caller, e.repo AS to_repo, e.path FROM e c JOIN e ON e.path = c.path OR (e.path <> '/' AND ends_with('/api/v1' || c.path, e.path) AND regexp_matches(('/api/v1' || c.path)[1:length('/api/v1' || c.path) - length(e.path)], '^/*((api|v[0-9]+)/*)+$'))""",
     "ex_json_nodes": """SELECT sha256('table:' || n_nationkey) AS id, '{"kind":"table","name":"' || n_name || '","schema":' || n_regionkey || '}' AS json FROM nation""",
     "st_window_counts": "SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS began, count(*) AS n FROM events GROUP BY ALL",
-    "st_session_burst": """WITH e AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS new FROM events WHERE event_type IN ('error', 'signup') WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    "st_session_burst": """WITH e AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT event_type, min(ts) AS began, max(ts) + INTERVAL 10 MINUTES AS ended, count(*) AS n FROM b GROUP BY event_type, k""",
     "st_dedup": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",

@@ -61,9 +61,10 @@ def g_meta_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes two forward hops from the first hundred orders reach, by kind and depth."""
+    """How many nodes two forward hops from the urgent orders reach, by kind and depth."""
     nodes, edges = graph(spark, sf_dir)
-    seeds = nodes.where("kind = 'task' AND key <= 100")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(C.stable_id("task", "o_orderkey").alias("id"))
+    seeds = nodes.where("kind = 'task'").join(urgent, "id", "left_semi")
     return G.khop(edges, seeds, 2, (0, 3, 7)).join(nodes.select("id", "kind"), "id").groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -199,7 +200,7 @@ UNION ALL SELECT 'files', 'other', count(*) FROM nodes WHERE kind = 'file'""",
     "g_meta_codec": """WITH m AS (SELECT (CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS i, (CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 2 ELSE 3 END) AS c,
 CAST(round(least(greatest(l_discount * 8, 0.0), 1.0) * 15) AS INTEGER) AS s FROM lineitem)
 SELECT i + 2 * c + 16 * s AS meta, i AS inferred, c AS context, CASE WHEN s > 0 THEN round(s / 15.0::DOUBLE, 6) END AS similarity, count(*) AS n FROM m GROUP BY ALL""",
-    "g_khop": f"""{_G}, s AS (SELECT id FROM nodes WHERE kind = 'task' AND key <= 100),
+    "g_khop": f"""{_G}, s AS (SELECT id FROM nodes JOIN orders ON kind = 'task' AND key = o_orderkey WHERE o_orderpriority = '1-URGENT'),
 h1 AS (SELECT DISTINCT to_id AS id FROM edges JOIN s ON from_id = s.id WHERE edge_type IN (0,3,7) AND to_id NOT IN (SELECT id FROM s)),
 h2 AS (SELECT DISTINCT to_id AS id FROM edges JOIN h1 ON from_id = h1.id WHERE edge_type IN (0,3,7) AND to_id NOT IN (SELECT id FROM s UNION ALL SELECT id FROM h1)),
 a AS (SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)

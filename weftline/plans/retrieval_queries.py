@@ -28,22 +28,21 @@ def s_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest vectors of the first ten."""
+    """The 20 nearest vectors of every hundredth."""
     rows = table(spark, sf_dir, "embeddings")
-    return _rounded(search.nearest(rows, rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), _K), "distance")
+    return _rounded(search.nearest(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), _K), "distance")
 
 
 def s_similar_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar vectors of the first hundred, from a similarity of 0.25 on."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 100")
-    return search.similar(rows, 3, 0.25)
+    """Similar vectors of every vector, from a similarity of 0.25 on."""
+    return search.similar(table(spark, sf_dir, "embeddings"), 3, 0.25)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A lexical and a vector list for the first ten items; documents stand for the vectors of their number."""
-    lexical = search.bm25(table(spark, sf_dir, _DOCS), _questions(spark, sf_dir).where("query_id < 10"), "doc_id", k=_K)
+    """A lexical list for every item and a vector list for every hundredth vector; documents stand for the vectors of their number."""
+    lexical = search.bm25(table(spark, sf_dir, _DOCS), _questions(spark, sf_dir), "doc_id", k=_K)
     rows = table(spark, sf_dir, "embeddings")
-    return lexical, search.nearest(rows, rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), _K)
+    return lexical, search.nearest(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), _K)
 
 
 def s_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +76,18 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(own, orders["commit"] == own["l_orderkey"]).select("commit", "at", "files")
 
 
+def _last_order(spark: SparkSession, sf_dir: str):
+    return F.lit(table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0])
+
+
 def g_cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that were ordered together in the last 180 days, with counts."""
-    return cochange.counts(cochange.recent(_commits(spark, sf_dir), None))
+    return cochange.counts(cochange.recent(_commits(spark, sf_dir), None, now=_last_order(spark, sf_dir)))
 
 
 def g_cochange_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 500 orders' pairs, at most three partners a part; counts of partners."""
-    taken = cochange.capped(cochange.recent(_commits(spark, sf_dir)), 3)
+    taken = cochange.capped(cochange.recent(_commits(spark, sf_dir), now=_last_order(spark, sf_dir)), 3)
     return taken.select(F.col("a").alias("part")).union(taken.select("b")).groupBy("part").agg(F.count(F.lit(1)).alias("partners"))
 
 
@@ -171,7 +174,8 @@ def b_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    return evaluation.importance(nodes, edges.where("edge_type <> 3"), edges.limit(0).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    together = edges.where("edge_type = 6").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))  # re-exports stand for co-changes
+    return evaluation.importance(nodes, edges.where("edge_type NOT IN (3, 6)"), together)
 
 
 def e_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,18 +227,18 @@ nn AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS distance FROM v q,
 vec AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM nn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {k})"""
 
 
-_FUSED = f"WITH {_bm25('item_id < 10')}, {_knn('vec_id < 10')}, fu AS (SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM lex UNION ALL SELECT query_id, id, 0.1::DOUBLE / (60 + rank) FROM vec) GROUP BY ALL)"
+_FUSED = f"WITH {_bm25()}, {_knn('vec_id % 100 = 0')}, fu AS (SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM lex UNION ALL SELECT query_id, id, 0.1::DOUBLE / (60 + rank) FROM vec) GROUP BY ALL)"
 _FILES = f"WITH {SQL_NODES},{SQL_EDGES}, fl AS (SELECT a.path AS from_path, b.path AS to_path, edge_type FROM edges JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE edge_type IN (5,6)), fg AS (SELECT least(from_path, to_path) AS a, greatest(from_path, to_path) AS b, sum(CASE edge_type WHEN 5 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS weight FROM fl WHERE from_path <> to_path GROUP BY ALL), mem AS (SELECT path AS file, s_nationkey AS community FROM nodes JOIN supplier ON key = s_suppkey WHERE kind = 'file')"
 _SIGNALS = """WITH s AS (SELECT user_id AS node, ts AS moment, event_type = 'error' AS neg, pow(0.5::DOUBLE, greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400e6::DOUBLE, 0) / 7.0::DOUBLE) >= 0.25 AS fresh FROM events WHERE event_type IN ('purchase','signup','error')),
 g AS (SELECT node, count(*) FILTER (WHERE fresh AND NOT neg) AS useful, count(*) FILTER (WHERE fresh AND neg) AS negative, count(*) FILTER (WHERE NOT fresh) AS faded, max(struct_pack(moment, neg)) FILTER (WHERE fresh) AS newest FROM s GROUP BY node),
 c AS (SELECT node, useful, negative, faded, CASE WHEN newest.neg THEN 'negative' WHEN NOT newest.neg THEN 'useful' END AS latest, CASE WHEN useful > 0 AND negative > 0 THEN 'contested' WHEN negative > 0 THEN 'dead_end' WHEN useful >= 2 THEN 'preferred' WHEN useful = 1 THEN 'tentative' END AS lesson FROM g),
 r AS (SELECT *, CASE WHEN lesson = 'contested' THEN latest END AS leaning FROM c)"""
-_IMPORTANCE = f"WITH {SQL_NODES},{SQL_EDGES}, h AS (SELECT from_id AS id, edge_type FROM edges WHERE edge_type <> 3 UNION ALL SELECT to_id, edge_type FROM edges WHERE edge_type <> 3), im AS (SELECT id, count(*) FILTER (WHERE edge_type <> 0) AS degree, count(*) FILTER (WHERE edge_type = 0) AS requirements, 0::BIGINT AS cochange, degree + 50 * requirements AS importance FROM h GROUP BY id)"
+_IMPORTANCE = f"WITH {SQL_NODES},{SQL_EDGES}, h AS (SELECT from_id AS id, edge_type FROM edges WHERE edge_type <> 3 UNION ALL SELECT to_id, edge_type FROM edges WHERE edge_type <> 3), im AS (SELECT id, count(*) FILTER (WHERE edge_type NOT IN (0, 6)) AS degree, count(*) FILTER (WHERE edge_type = 0) AS requirements, count(*) FILTER (WHERE edge_type = 6) AS cochange, degree + 50 * requirements + cochange AS importance FROM h GROUP BY id)"
 
 ORACLE_SQL = {
     "s_bm25_topk": f"WITH {_bm25()} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM lex",
-    "s_knn": f"WITH {_knn('vec_id < 10')} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM vec",
-    "s_similar_to": f"WITH {_knn('vec_id < 100', 'vec_id < 100', 3)} SELECT query_id AS id, id AS other, CAST(round((1 - distance) * 15) AS INTEGER) AS similarity15 FROM vec WHERE 1 - distance >= 0.25",
+    "s_knn": f"WITH {_knn('vec_id % 100 = 0')} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM vec",
+    "s_similar_to": f"WITH {_knn('vec_id >= 0', k=3)} SELECT query_id AS id, id AS other, CAST(round((1 - distance) * 15) AS INTEGER) AS similarity15 FROM vec WHERE 1 - distance >= 0.25",
     "s_rrf": f"{_FUSED} SELECT query_id, id, round(score, 6) AS score FROM fu",
     "s_overlay": f"{_FUSED}, l AS (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id) SELECT query_id, id, round(score * CASE WHEN bad THEN 0.5::DOUBLE WHEN good THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM fu LEFT JOIN l USING (id)",
     "t_budget_fit": f"WITH t AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS tier, {_EST.format('text')} AS cost FROM conversations), u AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY conv_id ORDER BY tier, turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM t) SELECT conv_id, turn, tier, cost, used FROM u WHERE used <= 360",

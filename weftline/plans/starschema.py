@@ -69,7 +69,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind(read("orders"), "task", "o_orderkey", "requirement", "o_custkey", 0),
         kind(calls, "task", "l_orderkey", "symbol", "l_partkey", 7, F.col("meta")),
         kind(supply.join(home, "l_partkey").where("l_suppkey <> home"), "symbol", "l_partkey", "file", "l_suppkey", 10, F.lit(1)),
-        kind(partner.where("rank <= 3"), "file", "a", "file", "b", 5),
+        kind(partner.where("rank <= 3 AND NOT (rank = 3 AND a % 10 = 0)"), "file", "a", "file", "b", 5),
         kind(partner.where("rank > 3 AND a % 10 = 0"), "file", "a", "file", "b", 6),
     ]
     out = made[0]
@@ -109,7 +109,7 @@ UNION ALL SELECT sha256('task:' || o_orderkey), sha256('requirement:' || o_custk
 UNION ALL SELECT sha256('task:' || l_orderkey), sha256('symbol:' || l_partkey), 7,
   min((CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) + 2 * (CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 2 ELSE 3 END)) FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT sha256('symbol:' || l_partkey), sha256('file:' || l_suppkey), 10, 1 FROM supply JOIN home USING (l_partkey) WHERE l_suppkey <> home
-UNION ALL SELECT sha256('file:' || a), sha256('file:' || b), 5, 0 FROM partner WHERE rank <= 3
+UNION ALL SELECT sha256('file:' || a), sha256('file:' || b), 5, 0 FROM partner WHERE rank <= 3 AND NOT (rank = 3 AND a % 10 = 0)
 UNION ALL SELECT sha256('file:' || a), sha256('file:' || b), 6, 0 FROM partner WHERE rank BETWEEN 4 AND 5 AND a % 10 = 0)"""
 
 SQL_RELATION = "['satisfies','depends_on','implements','defined_in','co_changes','imports','re_exports','calls','instantiates','extends','references','annotated_by','similar_to'][{} + 1]"

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.words import HTTP_RECEIVERS
+
 MARKER = re.compile(r"(REQ|TASK|ADR)-(?:[A-Z][A-Z0-9]*-)*[0-9]+[a-z]?")
 MAX_BODY = 800
 
@@ -182,11 +184,12 @@ def imports(path: str, text: str) -> list[tuple]:
     out: list[tuple] = []
     if lang in ("typescript", "tsx", "javascript"):
         code = re.sub(r"//[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+        pairs = lambda s: [" as ".join(x.strip() for x in b.removeprefix("type ").split(" as ")) for b in map(str.strip, s.split(",")) if b]
         named = lambda s: [b.split(" as ")[0].strip().removeprefix("type ") for b in s.split(",") if b.strip()]
         for m in re.finditer(r"\b(import|export)\s+(type\s+)?((?:[^'\";]|\n)*?)\bfrom\s*(['\"])(.*?)\4", code):
             what, bindings = m[3], []
             if braces := re.search(r"\{([^}]*)\}", what):
-                bindings += named(braces[1])
+                bindings += pairs(braces[1]) if m[1] == "export" else named(braces[1])
             if "*" in what:
                 bindings.append("*")
             if m[1] == "import" and (first := re.match(r"\s*([A-Za-z_$][\w$]*)\s*(,|$)", what)):
@@ -420,6 +423,13 @@ def jsonc(text: str) -> str:
     return re.sub(r"\"(?:\\.|[^\"\\])*\"|,(?=\s*[}\]])", lambda m: m[0] if m[0][0] == '"' else "", out, flags=re.S)
 
 
+def extended(path: str, target: str) -> str:
+    """The place in the tree of a file that a file names by a relative path; .json may be left out."""
+    import posixpath
+
+    return posixpath.normpath(posixpath.join(posixpath.dirname(path), target if target.endswith(".json") else f"{target}.json"))
+
+
 def manifest(path: str, text: str) -> list[tuple]:
     """(kind, name, version, dependencies, extends): package.json, Cargo.toml and tsconfig files; damaged ones give none."""
     base = path.rsplit("/", 1)[-1]
@@ -436,7 +446,8 @@ def manifest(path: str, text: str) -> list[tuple]:
             version = d.get("package", {}).get("version")
             return [("package", d["package"]["name"], version if isinstance(version, str) else None, deps, None)] if "package" in d else []
         if re.fullmatch(r"tsconfig.*\.json", base):
-            return [("tsconfig", path, None, [], json.loads(jsonc(text)).get("extends"))]
+            extends = json.loads(jsonc(text)).get("extends")
+            return [("tsconfig", path, None, [], extended(path, x)) for x in (extends if isinstance(extends, list) else [extends]) if isinstance(x, str) and x.startswith(".")]
     except (ValueError, KeyError, AttributeError):
         return []
     return []
@@ -484,7 +495,8 @@ def http_calls(path: str, text: str) -> list[tuple]:
     out = []
     for m in re.finditer(r"\bfetch\(\s*(['\"`])(.{1,200}?)\1(?:\s*,\s*\{[^}]*?method\s*:\s*['\"](\w+)['\"])?", text):
         out.append(((m[3] or "GET").upper(), normalize_path(m[2])))
-    for m in re.finditer(r"\b(?:axios|http|https|client|api|request|requests|httpx|session|got|ky|superagent)\.(get|post|put|patch|delete|head)\s*(?:<[^>]*>)?\(\s*f?(['\"`])(.{1,200}?)\2", text):
+    receiver = "|".join(HTTP_RECEIVERS)
+    for m in re.finditer(rf"(?i:\w*(?:{receiver}))\.(get|post|put|patch|delete|head)\s*(?:<[^>]*>)?\(\s*f?(['\"`])(.{{1,200}}?)\2", text):
         out.append((m[1].upper(), normalize_path(m[3])))
     return list(dict.fromkeys(x for x in out if x[1] != "/"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.lineage import cut
 from ..operators.sizes import small
 from . import extract as E
 
@@ -51,10 +52,43 @@ def code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("kind") == "reexport", 6).otherwise(5)
     first = links.groupBy("path", "target").agg(F.min(F.struct(F.when(F.col("kind") == "reexport", 1).otherwise(0), F.col("type_only"), F.col("kind"))).alias("w")).select("path", "target", "w.kind", "w.type_only")
     context = F.when(F.col("type_only") & (C.file_context("path") == 0), 1).otherwise(C.file_context("path"))
+    edges = edges.union(across(symbols, used, caller, links))
     imports = first.select(_file().alias("from_id"), _file("target").alias("to_id"), kind.cast("int").alias("edge_type"), C.encode_meta(F.lit(0), context).cast("int").alias("meta"))
     return nodes, edges.union(imports)
 
 
+def declaring(symbols: DataFrame, links: DataFrame, rounds: int = 8) -> DataFrame:
+    """(file, name, home): the file that declares what another passes on, over chains of re-exports, nearest first.
+
+    symbols (path, name) declare; links are resolved imports of which re-exports bind 'x', 'x as y' or '*'. Of several
+    chains the shortest counts, then the first by path.
+    """
+    declared = symbols.select(F.col("path").alias("file"), "name").distinct()
+    pass_on = links.where("kind = 'reexport'").select(F.col("path").alias("file"), "target", F.explode("bindings").alias("b"))
+    pass_on = pass_on.select("file", "target", F.element_at(F.split("b", " as "), 1).alias("outer"), F.element_at(F.split("b", " as "), -1).alias("local"))
+    found = declared.select("file", "name", F.col("file").alias("home"))
+    step = found
+    for _ in range(rounds):
+        inner = step.select(F.col("file").alias("target"), F.col("name").alias("there"), "home")
+        on = pass_on.join(inner, "target").where((F.col("outer") == "*") | (F.col("outer") == F.col("there")))
+        on = on.select("file", F.when(F.col("outer") == "*", F.col("there")).otherwise(F.col("local")).alias("name"), "home")
+        new = cut(on.groupBy("file", "name").agg(F.min("home").alias("home")).join(found.select("file", "name"), ["file", "name"], "left_anti"))
+        if new.isEmpty():
+            break
+        found, step = found.union(new), new
+    return found
+
+
+def across(symbols: DataFrame, used: DataFrame, caller: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges between symbols of different files: calls of imported names, to where they are declared."""
+    found = declaring(symbols, links)
+    bound = links.where("kind <> 'reexport' AND NOT type_only").select("path", "target", F.explode("bindings").alias("b")).where("b NOT IN ('*', 'default')")
+    bound = bound.join(found.select(F.col("file").alias("target"), F.col("name").alias("b"), "home"), ["target", "b"])
+    callee = symbols.groupBy(F.col("path").alias("home"), F.col("name").alias("b")).agg(F.min_by("id", "start").alias("callee"))
+    calls = caller.withColumnRenamed("name", "b").join(bound.join(callee, ["home", "b"]).select("path", "b", "callee").distinct(), ["path", "b"])
+    return _edges(calls.select("path", "caller", "callee").distinct(), F.col("caller"), F.col("callee"), 7, C.encode_meta(F.lit(0), C.file_context("path")))
+
+
 def aliased(files: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts whose specifiers go by a tsconfig alias or by a package of the tree, as places seen from the root."""
     import json
@@ -78,7 +112,8 @@ def aliased(files: DataFrame, facts: DataFrame) -> DataFrame:
             return []
 
     named = E.over(files.where(r"path RLIKE '(^|/)(package\\.json|tsconfig[^/]*\\.json)$'"), aliases, "path string, name string, place string, prefix boolean")
-    named = named.select("name", "place", "prefix").dropDuplicates(["name"])
+    # Of a name in several files, the one nearest the root counts, then the first by path.
+    named = named.groupBy("name").agg(F.min(F.struct(F.size(F.split("path", "/")), "path", "place", "prefix")).alias("x")).select("name", "x.place", "x.prefix")
     fits = F.when(F.col("prefix"), F.startswith("specifier", F.col("name"))).otherwise(F.col("specifier") == F.col("name"))
     web = facts.where("lang IN ('typescript', 'tsx', 'javascript') AND specifier NOT LIKE '.%'")
     # A repository's aliases are few: one task's reach of the manifests' rows.
@@ -168,6 +203,9 @@ def domain_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.union(_nodes(packages, id=C.stable_id("package", "name"), kind=F.lit("package"), label=F.col("name"), name=F.col("name"), path=F.col("path"), text=F.col("name")))
     needs = packages.select("name", F.explode("dependencies").alias("dep")).join(packages.select(F.col("name").alias("dep")), "dep").where("name <> dep")
     edges = edges.union(_edges(needs, C.stable_id("package", "name"), C.stable_id("package", "dep"), 1))
+    # A tsconfig that extends another one of the tree depends on it.
+    base = made.where("kind = 'tsconfig' AND extends IS NOT NULL").join(files.select(F.col("path").alias("extends")), "extends", "left_semi")
+    edges = edges.union(_edges(base, _file(), _file("extends"), 1))
     orms = E.over(files.where(C.language("path").isNotNull() | F.col("path").like("%.prisma")), E.orm, E.ORM)
     known = schema.where("what = 'table'").select(F.col("table").alias("t"), full.alias("full")).groupBy("t").agg(F.min("full").alias("full"))
     edges = edges.union(_edges(orms.join(known, F.element_at(F.split("table", r"\."), -1) == F.col("t")), _file(), C.stable_id("table", "full"), 2, 1))
