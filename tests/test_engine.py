@@ -169,3 +169,43 @@ def test_report_groups_files_that_change_together(engine):
             linked[r.edge_type] |= {path[r.from_id], path[r.to_id]}
     assert linked[4] - linked[5] - linked[6]
     assert sum(r["files"] for r in engine.report(100)["communities"]) == len(linked[4] | linked[5] | linked[6])
+
+
+def test_whole_answers_and_descriptions(engine):
+    found = engine.search("what uses RedisCache").collect()
+    assert found[0].label == "RedisCache" and found[0].tier == 0 and found[0].score > 0
+    assert any(r.label == "src/cache/redis.ts" for r in found) and any(r.tier == 2 and r.score == 0 for r in found)
+    text = engine.answer("what uses RedisCache", 400)
+    assert text.startswith("### Target\n```typescript\nRedisCache") and "### Dependency" in text
+    assert len(engine.answer("what uses RedisCache", 20)) < len(text)
+    told = {r.section: r.value for r in engine.describe("RedisCache").collect()}
+    assert told["requirements"] == "REQ-1" and told["location"].startswith("src/cache/redis.ts:") and told["authors"]
+    assert {r.path for r in engine.changed_with("thing", full_history=True).collect()} >= {"src/app/b.ts"}
+
+
+def test_lessons_are_written_and_read(engine):
+    engine.save_result("where is the cache", "useful", ["RedisCache"], 1_700_000_000)
+    engine.save_result("where is the cache again", "useful", ["RedisCache"], 1_700_000_100)
+    assert "RedisCache" in engine.write_lessons(1_700_001_000)
+    assert engine.saved_lessons().where("good").count() >= 1
+    assert engine.search("RedisCache", lessons=engine.saved_lessons()).first().label == "RedisCache"
+
+
+def test_baselines_gate(engine, tmp_path):
+    (tmp_path / "b.toml").write_text('[[query]]\nid = "a"\nquery = "RedisCache"\nexpect = ["src/cache/redis.ts"]\n[[query]]\nid = "b"\nquery = "keep values"\nkind = "traceability"\nexpect = ["REQ-1", "RedisCache"]\n')
+    rows = {r.query_id: r for r in engine.bench(str(tmp_path / "b.toml")).collect()}
+    assert rows["a"].recall_at_5 == 1.0 and rows["b"].recall_at_5 == 1.0
+    engine.save_baseline(str(tmp_path / "b.toml"), str(tmp_path / "base.json"))
+    assert engine.check_baseline(str(tmp_path / "b.toml"), str(tmp_path / "base.json")).count() == 0
+
+
+def test_compaction_folds_deltas(spark, tmp_path):
+    from weftline.operators.store import Store
+
+    store = Store(spark, str(tmp_path))
+    base = spark.range(100).selectExpr("id", "id * 2 AS v")
+    store.commit({"t": base})
+    store.upsert("t", "id", spark.createDataFrame([(1, 5)], "id long, v long"), spark.createDataFrame([(2,)], "id long"))
+    assert store.read("t").count() == 100 and store.view("t", "id").count() == 99
+    assert store.compact() == ["t"] and store.read("t").count() == 99 and store.compact() == []
+    assert store.read("t").where("id = 1").first().v == 5 and store.vacuum()

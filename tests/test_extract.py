@@ -62,7 +62,7 @@ def test_liquibase_xml_and_yaml():
 def test_manifests_services_and_mappings():
     assert E.manifest("p/package.json", '{"name": "n", /* c */ "version": "1", "devDependencies": {"b": "1",},}') == [("package", "n", "1", ["b"], None)]
     assert E.manifest("Cargo.toml", '[package]\nname = "c"\nversion = "2"\n[dependencies]\nserde = "1"\n') == [("package", "c", "2", ["serde"], None)]
-    assert E.manifest("tsconfig.base.json", '{"extends": "./x.json"}')[0][4] == "./x.json"
+    assert E.manifest("tsconfig.base.json", '{"extends": "./x.json"}')[0][4] == "x.json"
     assert E.manifest("package.json", "{") == []
     assert E.openapi("o.yaml", "openapi: 3.0.0\npaths:\n  /a/{id}:\n    get: {operationId: x}\n    parameters: []\n") == [("GET", "/a/{}", "x")]
     assert E.http_calls("a.ts", "fetch(`${BASE}/users/${id}?x=1`, { method: 'POST' }); axios.get('https://h/a/:b')") == [("POST", "/users/{}"), ("GET", "/a/{}")]

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .lineage import write_text
 
 SNIPPET, BATCH = 4000, 8
 CACHE = "path string, content_hash string, lang string, summary string, model string, prompt_version int, _bad string"
@@ -94,3 +96,53 @@ def write_cache(rows: DataFrame, path: str) -> None:
         for r in rows.orderBy("path", "lang").toLocalIterator():
             f.write(json.dumps(r.asDict(), sort_keys=True, ensure_ascii=False) + "\n")
     os.replace(f"{path}.tmp", path)
+
+
+def prompt(files: list[tuple[str, str]], languages: list[str], words: int = 40) -> str:
+    """The request for summaries of files (path, text) in all the languages at once, so the code is sent once."""
+    out = (
+        f"For each file below, say in one or two sentences of at most {words} words, in each of these languages: {', '.join(languages)}, "
+        "what it does, which concepts of its domain it deals with, and what a developer might call them when looking for it. "
+        "Write each language as its speakers would; don't quote code. Answer with JSON alone: a list with an object for each file, "
+        '{"path": the path as given, "summaries": {language: text}}.\n'
+    )
+    return out + "".join(f"\n=== FILE: {path} ===\n{text}\n" for path, text in files)
+
+
+class BadAnswer(ValueError):
+    """An answer that isn't a JSON list."""
+
+
+def parsed(answer: str, paths: list[str], languages: list[str]) -> tuple[dict[str, dict[str, str]], dict[str, str]]:
+    """({path: {language: summary}}, {path: why it failed}) of an answer. A file that lacks a language fails whole.
+
+    A language may be spelled with a region (pt-BR or PT for pt).
+    """
+    try:
+        found = json.loads(answer.strip())
+    except ValueError:
+        raise BadAnswer("the answer is not JSON") from None
+    if not isinstance(found, list):
+        raise BadAnswer("the answer is not a list")
+    made: dict[str, dict[str, str]] = {}
+    for item in found:
+        if isinstance(item, dict) and isinstance(item.get("summaries"), dict) and isinstance(item.get("path"), str):
+            own = {k.lower(): v.strip() for k, v in item["summaries"].items() if isinstance(v, str) and v.strip()}
+            fits = lambda lang: next((v for k, v in own.items() if k == lang or re.match(re.escape(lang) + "[-_]", k)), None)  # noqa: E731,B023
+            made[item["path"]] = {lang: text for lang in languages if (text := fits(lang))}
+    good = {p: made[p] for p in paths if len(made.get(p, {})) == len(languages)}
+    return good, {p: "no answer for this file" if p not in made else "a requested language is missing" for p in paths if p not in good}
+
+
+def within_budget(ranked: DataFrame, tokens: str, languages: int, budget_usd: float, price: tuple[float, float], key: str = "path") -> DataFrame:
+    """The most important files (importance) whose summaries' running cost stays within the budget; a plan that stops there."""
+    each = ((F.col(tokens) + 18 + F.lit(220 / BATCH)) * price[0] + (14 + 60 * languages) * price[1]) / 1e6
+    upto = Window.orderBy(F.desc("importance"), key).rowsBetween(Window.unboundedPreceding, 0)  # a row for each file of a tree
+    return ranked.withColumn("cost", F.sum(each).over(upto)).where(F.col("cost") <= budget_usd)
+
+
+def write_state(spark: SparkSession, path: str, states: DataFrame, spent: dict) -> dict:
+    """The counts of status() and what was spent, as a JSON file that is replaced in one step."""
+    state = {"files": {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}, "spent": spent}
+    write_text(spark, path, json.dumps(state, sort_keys=True, indent=1) + "\n")
+    return state
