@@ -14,7 +14,7 @@ from .common import small_batches, texts
 #: A piece that no vocabulary entry covers scores this much below the least entry.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of units whose counts a worker remembers (each with what a dictionary's entry takes), and characters of such a unit.
-REMEMBERED, ENTRY, LONGEST_UNIT = 64 << 20, 150, 200
+REMEMBERED, ENTRY, LONGEST_UNIT = 128 << 20, 150, 200
 _MARK = "▁"
 
 
