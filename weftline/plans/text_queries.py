@@ -166,7 +166,7 @@ SELECT o_orderkey, CAST(generate_subscripts(k, 1) - 1 AS INTEGER) AS place, unne
     "x_secret_scan": f"{_TEXTS} SELECT doc_id, {_KIND} AS kind FROM d",
     "x_redact": f"{_TEXTS} SELECT doc_id, sha256({_REDACT}) AS redacted_sha256 FROM d",
     "x_snippet": """WITH h AS (SELECT doc_id, text, text[1:200] AS head FROM documents), a AS (SELECT *, length(head) - position(chr(10) IN reverse(head)) AS cut FROM h)
-SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN contains(head, chr(10)) AND cut > floor(length(head) / 2) THEN head[1:cut] ELSE head END AS snippet FROM a""",
+SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN contains(head, chr(10)) AND strlen(head[1:cut]) > floor(strlen(head) / 2) THEN head[1:cut] ELSE head END AS snippet FROM a""",
     "x_url_normalize": f"""WITH {_LINKS}, r AS (SELECT url AS raw FROM pages UNION SELECT href FROM links), n AS (SELECT raw, regexp_replace(raw, '/([0-9]+)', '/:\\1', 'g') AS x FROM r)
 SELECT raw, {_path("x")} AS path FROM n""",
     "x_paths_match": f"""WITH p AS (SELECT DISTINCT {_path("url")} AS path FROM pages), x AS (SELECT unnest(['', '/api', '/api/v2', '/apis', '/v']) AS prefix)
