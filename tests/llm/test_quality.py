@@ -1,9 +1,13 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 from weftline.llm import quality
 
@@ -141,3 +145,71 @@ def test_edge_cases(spark):
     assert all(r.keep and r.perplexity is None for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(empty(spark), labels).count() == 0
     assert quality.kept(docs, labels).columns == docs.columns
+
+
+def kernel(monkeypatch, spark, make):
+    """The function that a query's first mapInArrow takes, and batches for it: 12 languages, 23 MB of text."""
+    found, frame_type = [], type(spark.range(0))
+    with monkeypatch.context() as m:
+        m.setattr(frame_type, "mapInArrow", lambda self, f, schema: found.append(f) or spark.createDataFrame([], schema), raising=False)
+        m.setattr(quality, "saved", lambda df, name: df)
+        make()
+    rng = random.Random(11)
+    texts = [random_text(rng) for _ in range(12)]
+
+    def batches():
+        for k in range(10):
+            for i, t in enumerate(texts):
+                yield pa.RecordBatch.from_arrays([pa.array([2 * (12 * k + i)]), pa.array([t]), pa.array([f"l{i:02}"])], ["doc_id", "text", "lang"])
+
+    return found[0], batches
+
+
+def random_text(rng):
+    known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    return " ".join(rng.choices(known, k=31_000))
+
+
+def anonymous_mb():
+    """MB that this process holds beside mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+
+KERNELS = {
+    "counts": lambda docs: quality.ngram_counts(docs),
+    "chunks": lambda docs: quality._chunks(docs, [f"l{i:02}" for i in range(12)], {(f"l{i:02}", k) for i in range(12) for k in (0, 1)}),
+}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_a_tasks_memory_does_not_grow_with_languages_and_goes_back(spark, monkeypatch, name):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    each, batches = kernel(monkeypatch, spark, lambda: KERNELS[name](docs))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    size = sum(b.column(1).nbytes for b in batches())
+    before = anonymous_mb()
+    tracemalloc.start()
+    try:
+        for _ in each(batches()):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 20e6
+    assert most < 100e6  # codes of all languages' texts take 8 times their size
+    assert anonymous_mb() - before < 50
+
+
+def test_small_chunks_and_blocks_give_the_same_counts_and_likelihoods(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string").coalesce(2)
+    trusted = docs.where("doc_id < 40")
+    take = lambda: (sorted(map(tuple, quality.ngram_counts(trusted).collect()), key=str), sorted((r.doc_id, r.n, r.nll) for r in quality.scores(docs, trusted).collect()))
+    counts, found = take()
+    monkeypatch.setattr(quality, "CHUNK", 1500)
+    monkeypatch.setattr(quality, "GATHERED", 3000)
+    monkeypatch.setattr(quality, "SORTED", 300)
+    again, cut = take()
+    assert again == counts
+    assert [x[:2] for x in cut] == [x[:2] for x in found]
+    assert [x[2] for x in cut] == pytest.approx([x[2] for x in found], rel=1e-6)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, by_rows, byte_texts, few, id_set, measured, row_set, saved, shared_dir, small_batches
+from .common import by_ids, by_rows, byte_texts, few, id_set, lean, measured, row_set, saved, shared_dir, small_batches
 
 #: Bytes in an n-gram.
 ORDER = 5
@@ -24,8 +24,12 @@ QUANTILE = 0.995
 PRIOR_BYTES = 200
 #: n-gram types in a model shard, and n-grams that are looked up in one.
 SHARD_TYPES, SHARD_LOOKUPS = 1_000_000, 8_000_000
-#: Bytes of text whose n-grams are counted before they leave a task, and that are scored together.
-CHUNK, SCORED = 8 << 20, 16 << 20
+#: Bytes of text, of all languages, that a task holds for counting, and bytes of text of one language that are scored together.
+CHUNK, SCORED = 16 << 20, 16 << 20
+#: Bytes of text and of distinct n-grams, of all languages, that a task gathers for scoring.
+GATHERED = 64 << 20
+#: Bytes of text whose n-grams are put in order at once (some 30 bytes each).
+SORTED = 2 << 20
 #: Orders whose tables go to every shard: at most 65,792 n-grams for each language and fold.
 LOW = 2
 #: Quantiles are looked for among blocks of so many steps first.
@@ -51,6 +55,15 @@ def codes(data: bytes) -> np.ndarray:
     return out
 
 
+def codes_of(texts: list[bytes]) -> np.ndarray:
+    """The codes of several texts, one after the other."""
+    out, at = np.empty(sum(map(len, texts)), np.int64), 0
+    for t in texts:
+        out[at : at + len(t)] = codes(t)
+        at += len(t)
+    return out
+
+
 def ngram_counts(trusted: DataFrame) -> DataFrame:
     """(lang, fold, k, code, c): counts of the trusted texts' n-grams, and of what continues them at lower orders.
 
@@ -60,31 +73,41 @@ def ngram_counts(trusted: DataFrame) -> DataFrame:
     small_batches(trusted.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        held: dict[tuple[str, int], list[bytes]] = {}
         sizes: dict[tuple[str, int], int] = {}
-
-        def flush(key: tuple[str, int]) -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held.pop(key)), return_counts=True)
-            sizes.pop(key)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(code), pa.string()), pa.array(np.full(len(code), key[1], np.int32)), pa.array(code), pa.array(n.astype(np.int64))],
-                ["lang", "fold", "code", "c"],
-            )
+        total = 0
+
+        def flush(key: tuple[str, int]) -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            own = held.pop(key)
+            total -= sizes.pop(key)
+            while own:
+                some = [own.pop()]
+                size = len(some[0])
+                while own and size + len(own[-1]) <= SORTED:
+                    some.append(own.pop())
+                    size += len(some[-1])
+                code, n = np.unique(codes_of(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * len(code), pa.string()), pa.array(np.full(len(code), key[1], np.int32)), pa.array(code), pa.array(n.astype(np.int64))],
+                    ["lang", "fold", "code", "c"],
+                )
 
         for b in batches:
             for doc_id, text, lang in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
                 if not text:
                     continue
                 key = (lang, fold_of(doc_id))
-                held.setdefault(key, []).append(codes(text.translate(_PLAIN)))
+                held.setdefault(key, []).append(text.translate(_PLAIN))
                 sizes[key] = sizes.get(key, 0) + len(text)
-                if sizes[key] >= CHUNK:
-                    yield flush(key)
+                total += len(text)
+                if total >= CHUNK:
+                    yield from flush(max(sizes, key=sizes.get))
         for key in list(held):
-            yield flush(key)
+            yield from flush(key)
 
     keys = ["lang", "fold", "code"]
-    top = trusted.mapInArrow(each, "lang string, fold int, code long, c long").groupBy(*keys).agg(F.sum("c").alias("c"))
+    top = trusted.mapInArrow(lean(each), "lang string, fold int, code long, c long").groupBy(*keys).agg(F.sum("c").alias("c"))
     top = saved(few(top), "ngrams")
     every, order = top.select("lang", "fold", F.lit(ORDER).alias("k"), "code", "c"), top
     for k in range(ORDER - 1, 0, -1):
@@ -209,16 +232,21 @@ def _chunks(docs: DataFrame, names: list[str], models: set[tuple[str, int]]) ->
         kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary(), pa.int64()]
         fields = [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")]
         held: dict[tuple[str, int], dict] = {}
+        total = 0
 
         def merge(own: dict) -> None:
-            if own["new"]:
-                own["types"] = np.union1d(own["types"], np.concatenate(own["new"]))
-                own["new"], own["fresh"] = [], 0
+            nonlocal total
+            if own["fresh"]:
+                total -= own["types"].nbytes
+                own["types"] = np.union1d(own["types"], codes_of(own["texts"][own["merged"] :]))
+                own["merged"], own["fresh"] = len(own["texts"]), 0
+                total += own["types"].nbytes
 
         def flush(at: tuple[str, int]) -> pa.RecordBatch:
-            nonlocal chunk
+            nonlocal chunk, total
             own = held.pop(at)
             merge(own)
+            total -= own["size"] + own["types"].nbytes
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(own["texts"]))
             row = (chunk, at[0], at[1], own["ids"], own["rows"], own["sizes"], data, _packed(own["types"]), len(own["types"]))
             chunk += 1
@@ -229,22 +257,24 @@ def _chunks(docs: DataFrame, names: list[str], models: set[tuple[str, int]]) ->
                 fold = 1 - fold_of(doc_id)
                 fold = fold if (lang, fold) in models else 1 - fold
                 at = (lang, 2 * names.index(lang) + fold if (lang, fold) in models else -1)
-                own = held.setdefault(at, {"ids": [], "rows": [], "sizes": [], "texts": [], "size": 0, "types": np.zeros(0, np.int64), "new": [], "fresh": 0})
+                own = held.setdefault(at, {"ids": [], "rows": [], "sizes": [], "texts": [], "size": 0, "types": np.zeros(0, np.int64), "merged": 0, "fresh": 0})
                 plain = text.translate(_PLAIN)
                 for column, x in (("ids", doc_id), ("rows", np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64)), ("sizes", len(plain)), ("texts", plain)):
                     own[column].append(x)
                 own["size"] += len(plain)
-                if at[1] >= 0 and plain:
-                    own["new"].append(codes(plain))
+                total += len(plain)
+                if at[1] >= 0:
                     own["fresh"] += len(plain)
-                    if own["fresh"] >= SCORED // 8:
+                    if own["fresh"] >= SORTED:
                         merge(own)
                 if own["size"] >= SCORED:
                     yield flush(at)
+                elif total >= GATHERED:
+                    yield flush(max(held, key=lambda x: held[x]["size"] + held[x]["types"].nbytes))
         for at in list(held):
             yield flush(at)
 
-    return docs.mapInArrow(each, _CHUNK_SCHEMA)
+    return docs.mapInArrow(lean(each), _CHUNK_SCHEMA)
 
 
 def _looked_up(chunks: DataFrame, counts: DataFrame, discount: dict, names: list[str], shards: int) -> DataFrame:
@@ -299,10 +329,10 @@ def _looked_up(chunks: DataFrame, counts: DataFrame, discount: dict, names: list
                 logp = [models[int(key[i])].score(_unpacked(b.column(5)[i].as_py())).astype(np.float32).tobytes() for i in range(s, e)]
                 yield pa.RecordBatch.from_arrays([pa.array(code[s:e]), pa.array(at[s:e]), pa.array(logp, pa.binary())], ["chunk", "shard", "logp"])
 
-    asked = chunks.where("n_types > 0").select("chunk", "key", "types").mapInArrow(lookups, "shard int, kind int, key int, code long, c long, blob binary")
+    asked = chunks.where("n_types > 0").select("chunk", "key", "types").mapInArrow(lean(lookups), "shard int, kind int, key int, code long, c long, blob binary")
     known = rows.where(F.col("k") > LOW).select(shard_of(F.col("code"), shards).alias("shard"), F.lit(0).alias("kind"), "key", "code", "c", F.lit(None).cast("binary").alias("blob"))
     dealt = known.union(asked).repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(solve, "chunk long, shard int, logp binary")
+    return dealt.mapInArrow(lean(solve), "chunk long, shard int, logp binary")
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -364,7 +394,7 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             else:
                 chunks = chunks.withColumn("found", F.lit(None).cast("array<struct<shard: int, logp: binary>>"))
             chunks = chunks.select("lang", "key", "ids", "rows", "sizes", "data", "types", "found")
-            return saved(chunks.mapInArrow(each, "doc_id long, row long, lang string, n long, nll double"), "scores")
+            return saved(chunks.mapInArrow(lean(each), "doc_id long, row long, lang string, n long, nll double"), "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
