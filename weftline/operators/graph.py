@@ -7,7 +7,7 @@ keep it in tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -19,10 +19,20 @@ from .lineage import cut
 DEPENDENCIES = (1, 5, 6, 7, 8, 9, 10)
 SATISFIES, IMPLEMENTS, DEFINED_IN, IMPORTS, RE_EXPORTS = 0, 2, 3, 5, 6
 DEFAULT_TYPES = (*DEPENDENCIES, SATISFIES, IMPLEMENTS)
+#: Relations that pass a repository on: definitions, notes and calls.
+TAGGING = (DEFINED_IN, 11, 7)
 #: Forward relations of a trace, in the order in which they are tried.
 TRACE_TYPES = (SATISFIES, DEFINED_IN, IMPLEMENTS, *DEPENDENCIES)
 
 
+def _as_is(id_: Column) -> Column:
+    return id_
+
+
+def _kind_of_id(nodes: DataFrame) -> str:
+    return nodes.schema["id"].dataType.simpleString()
+
+
 def relation_codes(names: Sequence[str]) -> list[int]:
     """Codes of relation names; hyphens and case are free, and 'dependencies' is a group."""
     out: list[int] = []
@@ -63,9 +73,9 @@ def edge_filter(edges: DataFrame, types: Sequence[int] = DEFAULT_TYPES, extracte
 
 
 def live(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends exist."""
+    """Edges both of whose ends exist, dealt by where they start."""
     ids = nodes.select(F.col("id"))
-    return edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return edges.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
 
 
 # --- counts -------------------------------------------------------------------------------------------------------
@@ -81,10 +91,10 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, types: Sequence[int] = DEPENDENCIES) -> DataFrame:
-    """(id, in_degree, out_degree, degree) over live edges of the types; one shuffle of half-edges, combined first."""
-    own = live(edge_filter(edges, types), nodes)
-    half = own.select(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(own.select("to_id", F.lit(0), F.lit(1)))
-    return half.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
+    """(id, in_degree, out_degree, degree) over live edges of the types: one pass over them, both ends combined before they are shuffled."""
+    own = live(edge_filter(edges, types).select("from_id", "to_id"), nodes)
+    half = own.select(F.posexplode(F.array("from_id", "to_id")).alias("end", "id"))
+    return half.groupBy("id").agg(F.sum("end").alias("in_degree"), F.sum(1 - F.col("end")).alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
 def barrels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,11 +105,11 @@ def barrels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.where("reexports >= 2 AND 2 * reexports >= outgoing")
 
 
-def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10, kinds: Sequence[str] = ("file", "symbol")) -> DataFrame:
+def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10, kinds: Sequence[str] = ("file", "symbol"), name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(id, label, kind, degree): the most connected nodes that aren't barrels; ties by label."""
     named = nodes.where(F.col("kind").isin(list(kinds))).select("id", "label", "kind")
     own = degrees(nodes, edges).join(named, "id").join(barrels(nodes, edges).select("id"), "id", "left_anti")
-    return own.orderBy(F.desc("degree"), "label", "id").limit(top).select("id", "label", "kind", "degree")
+    return own.orderBy(F.desc("degree"), "label", name(F.col("id"))).limit(top).select("id", "label", "kind", "degree")
 
 
 def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,12 +166,12 @@ def _frontier(edges: DataFrame, ids: list[str], column: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"{column} string, pos int"))
 
 
-def affected(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 2, cap: int = 25, types: Sequence[int] = DEFAULT_TYPES) -> DataFrame:
+def affected(nodes: DataFrame, edges: DataFrame, root: str | int, depth: int = 2, cap: int = 25, types: Sequence[int] = DEFAULT_TYPES, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(id, label, kind, depth, relation, inferred, context, omitted): what depends on root, over incoming edges.
 
     A node's first sighting, from the earliest frontier node, gives its relation. Each level keeps the cap
     best by (inferred, context by two bits, label, id); the others aren't visited and may come up again one
-    level down. omitted: how many a level dropped.
+    level down. omitted: how many a level dropped. Ids may be of any type; name makes what ties are put in order by.
     """
     spark = edges.sparkSession
     own = edge_filter(edges, types)
@@ -172,17 +182,17 @@ def affected(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 2, cap:
         seen = own.where(F.col("to_id").isin(frontier) & ~F.col("from_id").isin(visited)).join(_frontier(edges, frontier, "to_id"), "to_id")
         first = seen.groupBy(F.col("from_id").alias("id")).agg(F.min(F.struct("pos", "edge_type", "meta")).alias("via")).select("id", "via.edge_type", "via.meta")
         named = first.join(nodes.select("id", "label", "kind"), "id")
-        order = [C.meta_inferred("meta"), C.meta_context("meta", 0b11), F.col("label"), F.col("id")]
+        order = [C.meta_inferred("meta"), C.meta_context("meta", 0b11), F.col("label"), name(F.col("id"))]
         seen_all = Observation()  # the level's size, from the job that takes its best
         best = named.observe(seen_all, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(cap).collect()  # at most cap rows
         dropped = max(0, seen_all.get["n"] - cap)
         frontier = [r["id"] for r in best]
         visited += frontier
         rows += [(r["id"], r["label"], r["kind"], d, W.RELATIONS[r["edge_type"]], bool(r["meta"] & 1), W.CONTEXTS[r["meta"] >> 1 & 7], dropped) for r in best]
-    return spark.createDataFrame(rows, "id string, label string, kind string, depth int, relation string, inferred boolean, context string, omitted long")
+    return spark.createDataFrame(rows, f"id {_kind_of_id(nodes)}, label string, kind string, depth int, relation string, inferred boolean, context string, omitted long")
 
 
-def trace(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, cap: int = 25) -> DataFrame:
+def trace(nodes: DataFrame, edges: DataFrame, root: str | int, depth: int = 3, cap: int = 25, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(id, label, kind, depth, relation, incoming, meta): semantic and dependency edges both ways.
 
     DefinedIn is followed forward only. Of a node's edges to the earliest frontier node, forward ones come first,
@@ -201,23 +211,23 @@ def trace(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, cap: in
         back = own.where((F.col("edge_type") != DEFINED_IN) & F.col("to_id").isin(frontier) & ~F.col("from_id").isin(visited)).join(_frontier(edges, frontier, "to_id"), "to_id")
         back = back.select(F.col("from_id").alias("id"), F.struct("pos", F.lit(1).alias("back"), F.col("edge_type").cast("long").alias("rank"), "edge_type", "meta").alias("via"))
         first = out.union(back).groupBy("id").agg(F.min("via").alias("via")).select("id", "via.*")
-        order = [F.col("edge_type") == DEFINED_IN, C.meta_inferred("meta"), C.meta_context("meta", 0b11), F.col("id")]
+        order = [F.col("edge_type") == DEFINED_IN, C.meta_inferred("meta"), C.meta_context("meta", 0b11), name(F.col("id"))]
         best = first.orderBy(*order).limit(cap).join(nodes.select("id", "label", "kind"), "id", "left").orderBy(*order).collect()
         frontier = [r["id"] for r in best]
         visited += frontier
         rows += [(r["id"], r["label"], r["kind"], d, W.RELATIONS[r["edge_type"]], bool(r["back"]), r["meta"]) for r in best if r["kind"] is not None]
-    return spark.createDataFrame(rows, "id string, label string, kind string, depth int, relation string, incoming boolean, meta int")
+    return spark.createDataFrame(rows, f"id {_kind_of_id(nodes)}, label string, kind string, depth int, relation string, incoming boolean, meta int")
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, ids: list[str], visited: list[str]) -> DataFrame:
+def neighbours(nodes: DataFrame, edges: DataFrame, ids: list, visited: list, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(id, pos, inferred, ctx, back, edge_type, meta): undirected live steps from ids to nodes not visited."""
     out = edges.where(F.col("from_id").isin(ids) & ~F.col("to_id").isin(visited)).join(_frontier(edges, ids, "from_id"), "from_id").select(F.col("to_id").alias("id"), "pos", F.lit(0).alias("back"), "edge_type", "meta", F.col("from_id").alias("parent"))
     back = edges.where(F.col("to_id").isin(ids) & ~F.col("from_id").isin(visited)).join(_frontier(edges, ids, "to_id"), "to_id").select(F.col("from_id").alias("id"), "pos", F.lit(1).alias("back"), "edge_type", "meta", F.col("to_id").alias("parent"))
     steps = out.union(back).join(nodes.select("id"), "id", "left_semi")
-    return steps.select("id", "parent", F.struct("pos", C.meta_inferred("meta").alias("inferred"), C.meta_context("meta", 0b11).alias("ctx"), "id", "back", "edge_type", "meta").alias("via"))
+    return steps.select("id", "parent", F.struct("pos", C.meta_inferred("meta").alias("inferred"), C.meta_context("meta", 0b11).alias("ctx"), name(F.col("id")).alias("id"), "back", "edge_type", "meta").alias("via"))
 
 
-def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 3, max_nodes: int = 60, types: Sequence[int] = DEFAULT_TYPES, depth_first: bool = False) -> DataFrame:
+def expand(nodes: DataFrame, edges: DataFrame, seeds: list, depth: int = 3, max_nodes: int = 60, types: Sequence[int] = DEFAULT_TYPES, depth_first: bool = False, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(seq, id, depth, parent, relation, forward, meta): an undirected walk of at most max_nodes nodes.
 
     Breadth first: a level's nodes in the order of (frontier place, inferred, context, id). Depth first: a node's
@@ -239,7 +249,7 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 3,
         return new
 
     def steps(ids: list[str]) -> DataFrame:
-        return neighbours(nodes, own, ids, visited).groupBy("id").agg(F.min("via").alias("via"), F.min_by("parent", "via").alias("parent"))
+        return neighbours(nodes, own, ids, visited, name).groupBy("id").agg(F.min("via").alias("via"), F.min_by("parent", "via").alias("parent"))
 
     if depth_first:
         stack = [(s, 0) for s in seeds]
@@ -254,7 +264,7 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], depth: int = 3,
             if not frontier or len(rows) >= max_nodes:
                 break
             frontier = add(steps(frontier).orderBy("via").limit(max_nodes - len(rows)).collect(), d)
-    return spark.createDataFrame(rows, "seq int, id string, depth int, parent string, relation string, forward boolean, meta int")
+    return spark.createDataFrame(rows, f"seq int, id {_kind_of_id(nodes)}, depth int, parent {_kind_of_id(nodes)}, relation string, forward boolean, meta int")
 
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, types: Sequence[int]) -> DataFrame:
@@ -325,13 +335,13 @@ def lost_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, types: Sequenc
 # --- look-ups -----------------------------------------------------------------------------------------------------
 
 
-def explain(nodes: DataFrame, edges: DataFrame, root: str, top: int = 10) -> DataFrame:
+def explain(nodes: DataFrame, edges: DataFrame, root: str | int, top: int = 10, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """(side, place, id, label, relation, total): dependencies and dependents, best first, with their whole counts."""
     own = edge_filter(edges, DEPENDENCIES)
     out = own.where(F.col("from_id") == root).select(F.lit("dependencies").alias("side"), F.col("to_id").alias("id"), "edge_type", "meta")
     back = own.where(F.col("to_id") == root).select(F.lit("dependents").alias("side"), F.col("from_id").alias("id"), "edge_type", "meta")
     named = out.union(back).join(nodes.select("id", "label"), "id")
-    order = Window.partitionBy("side").orderBy(C.meta_inferred("meta"), C.meta_context("meta"), "label", "id", "edge_type")
+    order = Window.partitionBy("side").orderBy(C.meta_inferred("meta"), C.meta_context("meta"), "label", name(F.col("id")), "edge_type")
     named = named.withColumn("place", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("side")))
     return named.where(F.col("place") <= top).select("side", "place", "id", "label", C.relation_name("edge_type").alias("relation"), "total")
 

@@ -27,6 +27,11 @@ def _place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _place(spark, path)
+    return fs.exists(at)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text by whatever file system its path names; None if it isn't there."""
     at, fs = _place(spark, path)
@@ -66,7 +71,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again.
+    """df as a table in the shared folder, read again."""
+    return placed(df)[1]
+
+
+def placed(df: DataFrame) -> tuple[str, DataFrame]:
+    """df as a table in the shared folder: where it is, and the table read again.
 
     Every executor can read it, so a lost one costs nothing but its tasks. The table goes when the session's JVM
     ends.
@@ -76,4 +86,4 @@ def cut(df: DataFrame) -> DataFrame:
     at, fs = _place(spark, path)
     fs.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -214,17 +214,17 @@ def search(docs: DataFrame, questions: DataFrame, id_column: str = "doc_id", k:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def dependents(edges: DataFrame, targets: DataFrame, k: int = MOST_DEPENDENTS) -> DataFrame:
+def dependents(edges: DataFrame, targets: DataFrame, k: int = MOST_DEPENDENTS, name: Callable[[Column], Column] = graph._as_is) -> DataFrame:
     """(id, place): who depends on the targets (id), certain and runtime edges first; one id once, at most k."""
     own = graph.edge_filter(edges, graph.DEPENDENCIES)
     ends = small(targets.select("id").distinct())
     into = own.join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
     trust = F.struct(C.meta_inferred("meta").alias("inferred"), C.meta_context("meta", 0b11).alias("context"))
-    best = into.groupBy(F.col("from_id").alias("id")).agg(F.min(trust).alias("trust")).orderBy("trust", "id").limit(k)
-    return best.withColumn("place", F.row_number().over(Window.orderBy("trust", "id"))).select("id", "place")  # at most k rows
+    best = into.groupBy(F.col("from_id").alias("id")).agg(F.min(trust).alias("trust")).withColumn("tie", name(F.col("id"))).orderBy("trust", "tie").limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy("trust", "tie"))).select("id", "place")  # at most k rows
 
 
-def expanded(nodes: DataFrame, edges: DataFrame, found: DataFrame, asks: bool, k: int = MOST_DEPENDENTS) -> DataFrame:
+def expanded(nodes: DataFrame, edges: DataFrame, found: DataFrame, asks: bool, k: int = MOST_DEPENDENTS, name: Callable[[Column], Column] = graph._as_is) -> DataFrame:
     """(id, tier, place, score): what was found (rank, id, score), one hop along semantic edges, and dependents.
 
     The first hit is the target, others are seeds; forward dependency edges aren't followed. Where the question
@@ -236,8 +236,8 @@ def expanded(nodes: DataFrame, edges: DataFrame, found: DataFrame, asks: bool, k
     out = seeds.union(hop.select("id", F.lit(2).alias("tier"), "place", F.lit(0.0).alias("score")))
     if asks:
         files = edges.where(F.col("edge_type") == graph.DEFINED_IN).join(seeds.select(F.col("id").alias("from_id")), "from_id").select(F.col("to_id").alias("id"))
-        both = dependents(edges, seeds, k).withColumn("place", F.col("place") + 2000).union(dependents(edges, files, k).withColumn("place", F.col("place") + 3000))
-        more = both.groupBy("id").agg(F.min("place").alias("place")).join(out.select("id"), "id", "left_anti").orderBy("place", "id").limit(k)
+        both = dependents(edges, seeds, k, name).withColumn("place", F.col("place") + 2000).union(dependents(edges, files, k, name).withColumn("place", F.col("place") + 3000))
+        more = both.groupBy("id").agg(F.min("place").alias("place")).join(out.select("id"), "id", "left_anti").orderBy("place", name(F.col("id"))).limit(k)
         out = out.union(more.select("id", F.lit(2).alias("tier"), "place", F.lit(0.0).alias("score")))
     return out.join(nodes.select("id"), "id", "left_semi")
 

@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph as G
-from .starschema import SQL_EDGES, SQL_NODES, SQL_RELATION, graph, supplier_partners, table
+from .starschema import SQL_EDGES, SQL_NODES, SQL_RELATION, code, coded, graph, named, supplier_partners, table
+
+
+def last_supplier(spark: SparkSession, sf_dir: str) -> int:
+    return code("file", table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0])
 
 
-def _id(kind: str, key: int) -> str:
-    return hashlib.sha256(f"{kind}:{key}".encode()).hexdigest()
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", named("id"))
 
 
-def last_supplier(spark: SparkSession, sf_dir: str) -> str:
-    return _id("file", table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0])
+def _affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.affected(*graph(spark, sf_dir, G.DEFAULT_TYPES), last_supplier(spark, sf_dir), name=named)
 
 
 def g_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.affected(*graph(spark, sf_dir), last_supplier(spark, sf_dir)).drop("omitted")
+    return _named(_affected(spark, sf_dir)).drop("omitted")
 
 
 def g_affected_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.affected(*graph(spark, sf_dir), last_supplier(spark, sf_dir)).select("depth", "omitted").distinct()
+    return _affected(spark, sf_dir).select("depth", "omitted").distinct()
 
 
 def g_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,20 +35,21 @@ def g_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(*graph(spark, sf_dir))
+    return _named(G.degrees(*graph(spark, sf_dir, G.DEPENDENCIES)))
 
 
 def g_god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.god_nodes(*graph(spark, sf_dir))
+    return _named(G.god_nodes(*graph(spark, sf_dir, G.DEPENDENCIES), name=named))
 
 
 def g_barrel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.barrels(*graph(spark, sf_dir))
+    return _named(G.barrels(*graph(spark, sf_dir, G.DEPENDENCIES)))
 
 
 def g_edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certain test and spec calls, by context."""
-    own = G.edge_filter(graph(spark, sf_dir)[1], G.relation_codes(["calls"]), True, G.context_codes(["test", "spec"]))
+    types = G.relation_codes(["calls"])
+    own = G.edge_filter(graph(spark, sf_dir, types)[1], types, True, G.context_codes(["test", "spec"]))
     return own.groupBy(C.context_name(C.meta_context("meta")).alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,35 +65,35 @@ def g_meta_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes two forward hops from the urgent orders reach, by kind and depth."""
-    nodes, edges = graph(spark, sf_dir)
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(C.stable_id("task", "o_orderkey").alias("id"))
+    nodes, edges = graph(spark, sf_dir, types := (0, 3, 7))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(coded("task", "o_orderkey").alias("id"))
     seeds = nodes.where("kind = 'task'").join(urgent, "id", "left_semi")
-    return G.khop(edges, seeds, 2, (0, 3, 7)).join(nodes.select("id", "kind"), "id").groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return G.khop(edges, seeds, 2, types).join(nodes.select("id", "kind"), "id").groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 def g_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.trace(*graph(spark, sf_dir), last_supplier(spark, sf_dir), depth=2)
+    return _named(G.trace(*graph(spark, sf_dir, G.TRACE_TYPES), last_supplier(spark, sf_dir), depth=2, name=named))
 
 
 def g_expand_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.expand(*graph(spark, sf_dir), [last_supplier(spark, sf_dir)], depth=2, max_nodes=60).drop("parent")
+    return _named(G.expand(*graph(spark, sf_dir, G.DEFAULT_TYPES), [last_supplier(spark, sf_dir)], depth=2, max_nodes=60, name=named)).drop("parent")
 
 
 def g_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first supplier's file to the last's, over imports."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (5,))
     ends = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b")).first()
     files = nodes.where("kind = 'file'")
-    return G.shortest_path(files, edges, _id("file", ends["a"]), _id("file", ends["b"]), 6, (5,)).agg((F.count(F.lit(1)) - 1).alias("hops"))
+    return G.shortest_path(files, edges, code("file", ends["a"]), code("file", ends["b"]), 6, (5,)).agg((F.count(F.lit(1)) - 1).alias("hops"))
 
 
 def g_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.explain(*graph(spark, sf_dir), last_supplier(spark, sf_dir))
+    return _named(G.explain(*graph(spark, sf_dir, G.DEPENDENCIES), last_supplier(spark, sf_dir), name=named))
 
 
 def g_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets: a nation in another case, a requirement's marker, and a supplier's file by its tail."""
-    nodes = graph(spark, sf_dir)[0]
+    nodes = _named(graph(spark, sf_dir)[0])
     ends = table(spark, sf_dir, "supplier").agg(F.min_by("s_name", "s_suppkey").alias("s")).first()
     customer = table(spark, sf_dir, "customer").agg(F.min_by("c_name", "c_custkey").alias("c")).first()
     nation = table(spark, sf_dir, "nation").agg(F.min_by("n_name", "n_nationkey").alias("n")).first()
@@ -103,11 +106,11 @@ def g_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage by the orders of the first quarter of 1995, where only even customers are known; counts by state."""
-    nodes, edges = graph(spark, sf_dir)
-    quarter = table(spark, sf_dir, "orders").where("o_orderdate < timestamp '1995-04-01'").select(C.stable_id("task", "o_orderkey").alias("id"))
+    nodes, edges = graph(spark, sf_dir, (G.SATISFIES,))
+    quarter = table(spark, sf_dir, "orders").where("o_orderdate < timestamp '1995-04-01'").select(coded("task", "o_orderkey").alias("id"))
     known = nodes.where("(kind = 'requirement' AND key % 2 = 0)").unionByName(nodes.where("kind = 'task'").join(quarter, "id", "left_semi").select(*nodes.columns))
     own = edges.where("edge_type = 0").join(quarter.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
-    return G.coverage(known, own)
+    return _named(G.coverage(known, own))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from ..operators import communities, evaluation, search
 from ..operators import graph as G
 from ..operators.lineage import cut
 from .retrieval_queries import _FILES, _bm25, _file_links, _nations, _questions, _rounded, g_filegraph
-from .starschema import SQL_EDGES, SQL_NODES, graph, table
+from .starschema import SQL_EDGES, SQL_NODES, coded, graph, named, table
 from .text_queries import _path
 
 
@@ -51,21 +51,21 @@ def f_redact_dsn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be embedded of the star schema's nodes."""
-    own = graph(spark, sf_dir)[0].select("id", "kind", "label", "path", F.col("label").alias("name"), F.col("label").alias("title"), F.lit("a body").alias("body"), F.lit("fresh").alias("state"))
+    own = graph(spark, sf_dir)[0].select(named("id").alias("id"), "kind", "label", "path", F.col("label").alias("name"), F.col("label").alias("title"), F.lit("a body").alias("body"), F.lit("fresh").alias("state"))
     return own.select("id", C.embedding_text().alias("text"))
 
 
 def g_requirement_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of urgent orders satisfy their customers' requirements; parts with one, and their files."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (G.DEFINED_IN,))
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    made = urgent.where("o_custkey % 10 = 0").select(C.stable_id("symbol", "l_partkey").alias("from_id"), C.stable_id("requirement", "o_custkey").alias("to_id"), F.lit(0).alias("edge_type"), F.lit(0).alias("meta")).distinct()
-    return G.with_requirement(nodes, edges.where("edge_type = 3").unionByName(made))
+    made = urgent.where("o_custkey % 10 = 0").select(coded("symbol", "l_partkey").alias("from_id"), coded("requirement", "o_custkey").alias("to_id"), F.lit(0).alias("edge_type"), F.lit(0).alias("meta")).distinct()
+    return G.with_requirement(nodes, edges.unionByName(made)).withColumn("id", named("id"))
 
 
 def g_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as repositories of files and packages, passed on to what is defined in them; counts by kind."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, G.TAGGING)
     tag = F.when(F.col("kind") == "file", F.split("path", "/")[0]).when(F.col("kind") == "package", F.col("label"))
     return G.repositories(nodes, edges, tag).join(nodes.select("id", "kind"), "id").groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -80,7 +80,7 @@ def g_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many files an undirected walk over imports reaches from the first supplier's."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (G.IMPORTS,))
     first = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
     start = nodes.where((F.col("kind") == "file") & (F.col("key") == first)).first()["id"]
     return spark.createDataFrame([(G.reachable(nodes.where("kind = 'file'"), edges, start, types=(5,)),)], "reached long")
@@ -110,15 +110,15 @@ def s_bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer around three hits: the last order, the last part and the last supplier, with dependents."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (*search.EXPANDED, *G.DEPENDENCIES))
     kinds = F.when(F.col("kind") == "task", 1).when(F.col("kind") == "symbol", 2).when(F.col("kind") == "file", 3)
     last = nodes.withColumn("rank", kinds).where("rank IS NOT NULL").groupBy("rank").agg(F.max_by("id", "key").alias("id"))
-    return search.expanded(nodes, edges, last.select("rank", "id", (1 / F.col("rank")).alias("score")), True).select("id", "tier", "place", F.round("score", 6).alias("score"))
+    return search.expanded(nodes, edges, last.select("rank", "id", (1 / F.col("rank")).alias("score")), True, name=named).select(named("id").alias("id"), "tier", "place", F.round("score", 6).alias("score"))
 
 
 def b_hit_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every file, and every fiftieth requirement with its tasks, lies."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (G.SATISFIES,))
     own = nodes.withColumn("name", F.col("label"))
     hits = own.where("kind = 'file' OR (kind = 'requirement' AND key % 50 = 0)").select(F.col("kind").alias("query_id"), F.lit(1).alias("rank"), "id")
     found = evaluation.hit_locations(own, edges, hits)

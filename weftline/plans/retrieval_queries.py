@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import budget, cochange, communities, evaluation, memory, search
+from ..operators import graph as G
+from ..operators.lineage import cut
 from ..operators.sizes import small
-from .starschema import SQL_EDGES, SQL_NODES, graph, table
+from .starschema import SQL_EDGES, SQL_NODES, graph, named, table
 
 _DOCS, _K = "documents", 20
 
@@ -93,7 +95,7 @@ def g_cochange_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _file_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Links between files by path: imports, and files that share an order as pairs."""
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (5, 6))
     files = nodes.where("kind = 'file'").select("id", "path")
     a, b = files.toDF("from_id", "from_path"), files.toDF("to_id", "to_path")
     links = edges.where("edge_type = 5").join(a, "from_id").join(b, "to_id").select("from_path", "to_path")
@@ -173,18 +175,18 @@ def b_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = graph(spark, sf_dir, (0, *G.DEPENDENCIES))
     together = edges.where("edge_type = 6").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))  # re-exports stand for co-changes
-    return evaluation.importance(nodes, edges.where("edge_type NOT IN (3, 6)"), together)
+    return evaluation.importance(nodes, edges.where("edge_type <> 6"), together)
 
 
 def e_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _importance(spark, sf_dir)
+    return _importance(spark, sf_dir).withColumn("id", named("id"))
 
 
 def e_top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _importance(spark, sf_dir)
-    return evaluation.top_percent(own, 0.5, own.count()).select("id", "importance")
+    own = cut(_importance(spark, sf_dir).select("id", "importance"))
+    return evaluation.top_percent(own.withColumn("id", named("id")), 0.5, own.count())
 
 
 def e_coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
