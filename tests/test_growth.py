@@ -79,3 +79,8 @@ def test_degrees_read_their_edges_once(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     got = {r["id"]: (r["in_degree"], r["out_degree"], r["degree"]) for r in G.degrees(nodes, edges).collect()}
     assert got == {"a": (0, 2, 2), "b": (1, 1, 2), "c": (2, 0, 2)} and made.value == 4
+
+
+def test_barrels_shuffle_only_edges_of_files_that_re_export(spark, data):
+    text = plan(G.barrels(*starschema.graph(spark, data, G.DEPENDENCIES)))
+    assert "BroadcastHashJoin [from_id" in text
