@@ -81,6 +81,13 @@ def test_degrees_read_their_edges_once(spark):
     assert got == {"a": (0, 2, 2), "b": (1, 1, 2), "c": (2, 0, 2)} and made.value == 4
 
 
+def test_khop_makes_its_seeds_once(spark):
+    seeds, made = counted(spark, spark.createDataFrame([("a",)], "id string"))
+    edges = spark.createDataFrame([("a", "b", 7), ("b", "c", 7), ("c", "d", 7), ("b", "a", 7)], "from_id string, to_id string, edge_type int")
+    assert sorted(map(tuple, G.khop(edges, seeds, 2, (7,)).collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    assert made.value == 1
+
+
 def test_barrels_shuffle_only_edges_of_files_that_re_export(spark, data):
     text = plan(G.barrels(*starschema.graph(spark, data, G.DEPENDENCIES)))
     assert "BroadcastHashJoin [from_id" in text

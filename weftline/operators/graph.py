@@ -272,14 +272,14 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: list, depth: int = 3, max_
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, types: Sequence[int]) -> DataFrame:
     """(id, depth): nodes within depth forward hops of the seeds (id), each at its least depth.
 
-    Frontiers stay in tables: each level is one equi-join with the edges and one anti-join with what is visited.
+    Frontiers are tables in the shared folder: each level is one equi-join with the edges and one anti-join with
+    what is visited, and no level is made twice.
     """
     own = edge_filter(edges, types).select("from_id", "to_id")
-    seen = seeds.select("id", F.lit(0).alias("depth"))
-    frontier = seen
+    seen = frontier = cut(seeds.select("id", F.lit(0).alias("depth")))
     for d in range(1, depth + 1):
         step = frontier.join(own, frontier["id"] == own["from_id"]).select(F.col("to_id").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"))
+        frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen
 
