@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
-from weftline.operators import communities, sizes
+from weftline.operators import communities, evaluation, sizes
 from weftline.operators import graph as G
 from weftline.plans import graph_queries, report_queries, starschema
 
@@ -80,6 +80,13 @@ def test_cycles_read_their_links_once(spark):
     assert made.value == 6
 
 
+def test_importance_reads_its_edges_once(spark):
+    edges, made = counted(spark, spark.createDataFrame([("a", "b", 0), ("a", "c", 7), ("b", "c", 5), ("x", "c", 5)], "from_id string, to_id string, edge_type int"))
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    got = {r["id"]: r["importance"] for r in evaluation.importance(nodes, edges, spark.createDataFrame([("a", "b")], "a string, b string")).collect()}
+    assert got == {"a": 52, "b": 52, "c": 3} and made.value == 4
+
+
 def test_degrees_read_their_edges_once(spark):
     edges, made = counted(spark, spark.createDataFrame([("a", "b", 5, 0), ("a", "c", 7, 0), ("b", "c", 5, 0), ("x", "c", 5, 0)], "from_id string, to_id string, edge_type int, meta int"))
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")

@@ -55,8 +55,8 @@ def grep_baseline(docs: DataFrame, terms: DataFrame, id_column: str) -> DataFram
 
 def importance(nodes: DataFrame, edges: DataFrame, cochanges: DataFrame) -> DataFrame:
     """(id, degree, requirements, cochange, importance) by node: links at either end, requirements weigh 50."""
-    half = edges.select(F.col("from_id").alias("id"), "edge_type").union(edges.select("to_id", "edge_type"))
-    pairs = cochanges.select(F.col("a").alias("id")).union(cochanges.select("b"))
+    half = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"), "edge_type")  # one pass over the edges
+    pairs = cochanges.select(F.explode(F.array("a", "b")).alias("id"))
     every = half.select("id", (F.col("edge_type") != 0).cast("int").alias("d"), (F.col("edge_type") == 0).cast("int").alias("r"), F.lit(0).alias("c")).union(pairs.select("id", F.lit(0), F.lit(0), F.lit(1)))
     out = every.groupBy("id").agg(F.sum("d").alias("degree"), F.sum("r").alias("requirements"), F.sum("c").alias("cochange")).join(nodes.select("id"), "id", "left_semi")
     return out.withColumn("importance", F.col("degree") + REQUIREMENT_WEIGHT * F.col("requirements") + F.col("cochange"))
