@@ -1,5 +1,7 @@
 """What a query reads, holds and deals doesn't outgrow its input: ids of eight bytes, inputs read once, tasks by size."""
 
+import math
+import random
 import re
 
 import pytest
@@ -104,3 +106,20 @@ def test_khop_makes_its_seeds_once(spark):
 def test_barrels_shuffle_only_edges_of_files_that_re_export(spark, data):
     text = plan(G.barrels(*starschema.graph(spark, data, G.DEPENDENCIES)))
     assert "BroadcastHashJoin [from_id" in text
+
+
+@pytest.mark.parametrize("percent", [0, 0.5, 10, 50, 99, 100])
+def test_top_percent_with_ties(spark, percent):
+    rng = random.Random(percent)
+    rows = [(f"{i:04d}", rng.choice([None, 1, 1, 1, 2, 3])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, importance int").repartition(7)
+    out = evaluation.top_percent(df, percent, 600)
+    want = sorted(rows, key=lambda r: (-(r[1] or 0), r[0]))[: max(1, math.ceil(600 * percent / 100))]
+    assert sorted(out.collect(), key=str) == sorted(want, key=str)
+
+
+def test_top_percent_orders_only_the_last_places_rows(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 4).alias("importance"))
+    assert "TakeOrdered" not in plan(evaluation.top_percent(df, 25, 1000))
+    assert {r["importance"] for r in evaluation.top_percent(df, 25, 1000).collect()} == {3}
+    assert [r["id"] for r in evaluation.first_rows(df, "id", 700).orderBy("id").collect()] == sorted(map(str, range(1000)))[:700]

@@ -63,8 +63,33 @@ def importance(nodes: DataFrame, edges: DataFrame, cochanges: DataFrame) -> Data
 
 
 def top_percent(ranked: DataFrame, percent: float, total: int, key: str = "id") -> DataFrame:
-    """The most important percent, rounded up, one at least; ties by key."""
-    return ranked.orderBy(F.desc("importance"), key).limit(min(total, max(1, math.ceil(total * percent / 100))))
+    """The most important percent, rounded up, one at least; ties by key.
+
+    Counts by importance tell which importance the last place has: rows above it need no order, and of its own
+    rows the first by key are taken from a table in order of key. So no task holds more than a part of that table.
+    """
+    need = min(total, max(1, math.ceil(total * percent / 100)))
+    levels = ranked.groupBy("importance").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.desc_nulls_last("importance")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct importance
+    last = levels.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0))).where((F.col("before") < need) & (F.col("before") + F.col("n") >= need)).first()
+    if last is None:
+        return ranked.limit(0) if need <= 0 else ranked
+    level = F.lit(last["importance"])
+    over = ranked.where(F.col("importance").isNotNull() if last["importance"] is None else F.col("importance") > level)
+    own, left = ranked.where(F.col("importance").eqNullSafe(level)), need - last["before"]
+    return over.unionByName(own if left == last["n"] else first_rows(own, key, left))
+
+
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of the least keys, a large n too: whole ranges of keys, and of one range its first rows."""
+    dealt = cut(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    before = 0
+    for r in sorted(dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each task
+        if before + r["n"] > n:
+            whole, cut_one = dealt.where(F.col("range") < r["range"]), dealt.where(F.col("range") == r["range"])
+            return whole.unionByName(cut_one.orderBy(key).limit(n - before)).drop("range")
+        before += r["n"]
+    return dealt.drop("range")
 
 
 def coverage_curve(ranked: DataFrame, tokens: str, shares: tuple[int, ...] = (20, 50, 100), key: str = "id") -> DataFrame:
