@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
-from weftline.operators import communities, evaluation, sizes
+from weftline.operators import communities, evaluation, search, sizes
 from weftline.operators import graph as G
 from weftline.plans import graph_queries, report_queries, starschema
 
@@ -123,3 +123,22 @@ def test_top_percent_orders_only_the_last_places_rows(spark):
     assert "TakeOrdered" not in plan(evaluation.top_percent(df, 25, 1000))
     assert {r["importance"] for r in evaluation.top_percent(df, 25, 1000).collect()} == {3}
     assert [r["id"] for r in evaluation.first_rows(df, "id", 700).orderBy("id").collect()] == sorted(map(str, range(1000)))[:700]
+
+
+def test_postings_shuffle_once_and_split_texts_once(spark):
+    docs, made = counted(spark, spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "b"), (3, None), (4, "a b a")], "doc_id long, text string"))
+    got = search.index(docs, "doc_id")["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 4), ("b", 4, 4), ("c", 1, 1)]
+    assert plan(got).split("== Physical Plan ==")[1].split("== Initial Plan ==")[-1].count("Exchange ") == 1 and made.value == 5
+    stored = search.stored_index(docs, "doc_id")
+    assert made.value == 10 and tuple(stored["sizes"].first()) == (5, 1.8)
+    assert sorted(map(tuple, stored["postings"].collect())) == sorted(map(tuple, search.postings(docs, "doc_id").collect()))
+
+
+def test_scores_are_dealt_before_they_are_summed(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c d e")], "doc_id long, text string")
+    made = search.stored_index(docs, "doc_id")
+    asked = spark.createDataFrame([(7, "a b"), (8, "e")], "query_id long, text string")
+    out = search.bm25_stored(made["postings"], made["sizes"], asked)
+    assert [(r["query_id"], r["rank"], r["id"]) for r in out.orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2), (8, 1, 3)]
+    assert re.search(r"Exchange hashpartitioning\(query_id#\d+L, id#\d+L, \d+\), REPARTITION_BY", plan(out))

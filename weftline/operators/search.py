@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import budget, graph
 from .lineage import cut
-from .sizes import small
+from .sizes import small, spread
 
 K1, B = 1.2, 0.75
 RRF_K, LEXICAL, VECTOR = 60, 1.0, 0.1
 BOOST, PENALTY = 1.25, 0.5
+#: Words are more bytes than the compressed texts that they are read from.
+TERM_WEIGHT = 4.0
 #: Words that are listed in a filter on stored postings.
 MOST_TERMS = 200
 #: Relations of the one hop from what was found, and dependents that an answer adds.
@@ -32,24 +34,43 @@ def tokens(text: Column | str) -> Column:
 
 
 def postings(docs: DataFrame, id_column: str, text: Column | str = "text", tokenizer=tokens) -> DataFrame:
-    """(term, id, tf, len): documents' terms. Counts are combined where a document lies, then meet by (id, term)."""
-    own = docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms"))
-    own = own.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    """(term, id, tf, len): documents' terms, a term's in one task.
+
+    Words are dealt by term before they are counted: a document's own words are too many and too different for it to
+    pay to count them where it lies, and afterwards no second shuffle is needed.
+    """
+    return _dealt(docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms")).withColumn("len", F.size("terms")))
+
+
+def _dealt(split: DataFrame) -> DataFrame:
+    own = spread(split.select("id", "len", F.explode("terms").alias("term")), "term", weight=TERM_WEIGHT)
     return own.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
 
 
 def index(docs: DataFrame, id_column: str, text: Column | str = "text", tokenizer=tokens) -> dict[str, DataFrame]:
     """Tables of a stored lexical index: postings laid out by term, and the corpus' sizes (docs, mean)."""
     size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg(F.size(tokenizer(text))), F.lit(0.0)).alias("mean"))
-    return {"postings": postings(docs, id_column, text, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "id"), "sizes": size}
+    return {"postings": postings(docs, id_column, text, tokenizer).sortWithinPartitions("term"), "sizes": size}
+
+
+def stored_index(docs: DataFrame, id_column: str, text: Column | str = "text", tokenizer=tokens) -> dict[str, DataFrame]:
+    """index() as tables in the shared folder; texts are split once, for both."""
+    seen = Observation()
+    split = docs.select(F.col(id_column).alias("id"), tokenizer(text).alias("terms")).withColumn("len", F.size("terms"))
+    split = split.observe(seen, F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    made = cut(_dealt(split).sortWithinPartitions("term"))
+    size = seen.get
+    return {"postings": made, "sizes": docs.sparkSession.createDataFrame([(size["docs"], size["mean"] or 0.0)], "docs long, mean double")}
 
 
 def _ranked(hits: DataFrame, docs: Column, mean: Column, wanted: DataFrame, k: int) -> DataFrame:
-    """BM25 of hits (id, len, term, tf) for wanted (query_id, term)."""
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """BM25 of hits (id, len, term, tf) for wanted (query_id, term). The wanted words' df are few rows, so hits stay where they lie."""
+    df = small(cut(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = hits.join(df, "term").withColumn("part", part).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    parts = hits.join(df, "term").withColumn("part", part).join(wanted, "term").select("query_id", "id", "part")
+    parts = spread(parts, "query_id", "id", weight=TERM_WEIGHT)  # a document's words lie apart, so counting them there would only hold them
+    scored = parts.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

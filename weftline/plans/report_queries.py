@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import communities, evaluation, search
 from ..operators import graph as G
-from ..operators.lineage import cut
 from .retrieval_queries import _FILES, _bm25, _file_links, _nations, _questions, _rounded, g_filegraph
 from .starschema import SQL_EDGES, SQL_NODES, coded, graph, named, table
 from .text_queries import _path
@@ -104,7 +103,7 @@ def s_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s_bm25_topk over an index that is stored first."""
-    made = {k: cut(v) for k, v in search.index(table(spark, sf_dir, "documents"), "doc_id").items()}
+    made = search.stored_index(table(spark, sf_dir, "documents"), "doc_id")
     return _rounded(search.bm25_stored(made["postings"], made["sizes"], _questions(spark, sf_dir)), "score")
 
 
