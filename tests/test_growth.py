@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,32 @@ def test_scores_are_dealt_before_they_are_summed(spark):
     out = search.bm25_stored(made["postings"], made["sizes"], asked)
     assert [(r["query_id"], r["rank"], r["id"]) for r in out.orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2), (8, 1, 3)]
     assert re.search(r"Exchange hashpartitioning\(query_id#\d+L, id#\d+L, \d+\), REPARTITION_BY", plan(out))
+
+
+def test_neighbours_are_exact_in_blocks_and_chunks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 6)).round(2)
+    base[40:90] = base[7]  # ties
+    base[95], base[96] = 0, np.nan
+    ids = np.concatenate([np.arange(290), np.arange(10)])  # some ids twice
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, base, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    asked = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    clean = np.where(np.isfinite(base), base, 0)
+    unit = clean / np.maximum(np.linalg.norm(clean, axis=1, keepdims=True), 1e-300)
+    far = np.round(1 - np.clip(unit @ unit.T, -1, 1), 9)
+    for k in (3, 20, 400):
+        want = []
+        for q in np.unique(ids).tolist():
+            all_ = sorted((far[i, j], int(ids[j])) for i in np.flatnonzero(ids == q) for j in range(300) if ids[j] != q)
+            want += [(q, n + 1, d, round(float(f), 6)) for n, (f, d) in enumerate(all_[:k])]
+        got = search.nearest(df, asked, k, held_bytes=2048 * 6, most_asked=70).collect()
+        assert sorted((r["query_id"], r["rank"], r["id"], round(r["distance"], 6)) for r in got) == sorted(want)
+
+
+def test_more_queries_are_more_tasks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    blocks = spark.sparkContext.defaultParallelism
+    for most, chunks in ((200, 1), (20, 10)):
+        text = plan(search.nearest(df, asked, 3, most_asked=most)).split("== Physical Plan ==")[1]
+        assert re.search(rf"Exchange [^\n]*\b{blocks * chunks}\), REPARTITION_BY_NUM", text)

@@ -126,8 +126,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 1.0).otherwise(1 - F.least(F.greatest(dot(x, y) / norms, F.lit(-1.0)), F.lit(1.0)))
 
 
-#: Bytes of the candidates that a task holds, and of its distances at once.
-HELD_BYTES, DISTANCE_BYTES = 64 << 20, 16 << 20
+#: Bytes of the candidates that a task holds, and of its distances at once; queries that it streams past them.
+HELD_BYTES, DISTANCE_BYTES, ASKED = 64 << 20, 16 << 20, 1 << 17
+#: Candidates of a group, of which only the nearest counts for a query's bound.
+GROUP = 64
 
 
 def _vectors(lists: pa.Array, width: int) -> np.ndarray:
@@ -139,12 +141,44 @@ def _vectors(lists: pa.Array, width: int) -> np.ndarray:
     return np.where(np.isfinite(out), out, 0.0)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", held_bytes: int = HELD_BYTES) -> DataFrame:
+def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: np.ndarray, rough: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, candidate, distance) of the k nearest candidates (ids, own) of each query (q, v), all of norm 1 or 0.
+
+    Single precision (rough) leaves few candidates: those not farther than the k-th of the groups' nearest by more than
+    its error. Their distances are taken in double precision.
+    """
+    near = v.astype(np.float32) @ rough.T
+    first, last = (np.searchsorted(ids, q, side, sorter=by_id) for side in ("left", "right"))
+    same = last - first  # the queries themselves
+    near[np.repeat(np.arange(len(q)), same), by_id[np.arange(same.sum()) + np.repeat(first - np.cumsum(same) + same, same)]] = -np.inf
+    n = len(ids) // GROUP
+    if n >= k:
+        least = np.partition(near[:, : n * GROUP].reshape(len(q), GROUP, n).max(axis=1), n - k, axis=1)[:, n - k]
+    elif len(ids) > k:
+        least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+    else:
+        least = np.full(len(q), -np.inf, np.float32)
+    error = 1e-8 + (v.shape[1] + 8) * 2.0**-22
+    row, col = np.nonzero(near >= (least - error)[:, None])
+    some = np.isfinite(near[row, col])
+    row, col = row[some], col[some]
+    far, step = np.empty(len(row)), max(1, DISTANCE_BYTES // (16 * v.shape[1]))
+    for lo in range(0, len(row), step):  # ties may be many
+        far[lo : lo + step] = np.einsum("ij,ij->i", v[row[lo : lo + step]], own[col[lo : lo + step]])
+    far = np.round(1 - np.clip(far, -1, 1), 9)
+    order = np.lexsort((ids[col], far, row))
+    row, col, far = row[order], col[order], far[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+    return row[keep], col[keep], far[keep]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", held_bytes: int = HELD_BYTES, most_asked: int = ASKED) -> DataFrame:
     """(query_id, rank, id, distance): exact neighbours of queries (query_id, embedding), their own id left out.
 
-    distance is 1 - cosine in double precision, 1 where either norm is 0. Candidates are dealt to blocks of a
-    bounded size and the queries to every block, sorted after its candidates; a task streams the queries past
-    the block and hands on its k best for each. Nothing passes through the driver. Null vectors take no part.
+    distance is 1 - cosine in double precision, 1 where either norm is 0. Candidates are dealt to blocks of a bounded
+    size and queries to chunks of a bounded number; each block meets each chunk in a task of its own, which streams
+    the queries past the block and hands on its k best for each. So tasks become more with the tables, not longer.
+    Nothing passes through the driver. Null vectors take no part.
     """
     spark = rows.sparkSession
     candidates = rows.where("embedding IS NOT NULL").select(F.col(id_column).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -152,12 +186,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     size = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     width = max(1, size["width"] or 0)
     blocks = max(spark.sparkContext.defaultParallelism, math.ceil(size["n"] * width * 8 / held_bytes))
-    block = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(blocks)).cast("int")
-    every = candidates.select(block.alias("block"), F.lit(0).alias("kind"), "id", "v")
-    every = every.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v"))
+    chunks = max(1, math.ceil(asked.count() / most_asked))
+    one_of = lambda n: F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(n)).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = candidates.select(one_of(blocks).alias("block"), each_of(chunks).alias("chunk"), F.lit(0).alias("kind"), "id", "v")
+    met = met.union(asked.select(one_of(chunks).alias("chunk"), each_of(blocks).alias("block"), F.lit(1).alias("kind"), "id", "v").select(*met.columns))
+    every = met.select((F.col("block") * chunks + F.col("chunk")).alias("place"), "kind", "id", "v")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, ids, own = None, [], None, None
+        at, parts, held = None, [], None
         for b in batches:
             place, kind, key = (b.column(i).to_numpy() for i in range(3))
             cuts = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(place)]])
@@ -165,33 +202,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
                 if s == e:
                     continue
                 if place[s] != at:
-                    at, parts, ids = int(place[s]), [], None
+                    at, parts, held = int(place[s]), [], None
                 v = _vectors(b.column(3).slice(s, e - s), width)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
                 if kind[s] == 0:
                     parts.append((key[s:e], v))
                     continue
-                if ids is None:
+                if held is None:
                     ids = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)])
                     own = np.concatenate([np.zeros((0, width)), *(x for _, x in parts)])
-                    parts = []
-                if not len(ids):
+                    held, parts = (ids, own, own.astype(np.float32), np.argsort(ids, kind="stable")), []
+                if not len(held[0]):
                     continue
-                step = max(1, DISTANCE_BYTES // (8 * len(ids)))
-                for lo in range(0, e - s, step):
-                    q = key[s + lo : min(s + lo + step, e)]
-                    far = np.round(1 - np.clip(v[lo : lo + step] @ own.T, -1, 1), 9)
-                    far[q[:, None] == ids] = np.inf
-                    some = min(k, len(ids))
-                    least = np.partition(far, some - 1, axis=1)[:, some - 1]
-                    row, col = np.nonzero((far <= least[:, None]) & np.isfinite(far))
-                    order = np.lexsort((ids[col], far[row, col], row))  # ties with the k-th may be many
-                    row, col = row[order], col[order]
-                    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
-                    row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(ids[col]), pa.array(far[row, col])], ["query_id", "id", "distance"])
-
-    dealt = every.repartition(blocks, "block").sortWithinPartitions("block", "kind")
+                step = max(1, DISTANCE_BYTES // (4 * len(held[0])))
+                for lo in range(s, e, step):
+                    q = key[lo : min(lo + step, e)]
+                    row, col, far = _best(q, v[lo - s : lo - s + len(q)], *held, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(held[0][col]), pa.array(far)], ["query_id", "id", "distance"])
+
+    dealt = every.repartitionById(blocks * chunks, F.col("place")).sortWithinPartitions("place", "kind")
     found = dealt.mapInArrow(each, "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
